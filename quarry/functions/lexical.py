@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.functions import readability as R
-from quarry.functions.text import _c, has_valid_sentence, ngrams, word_count, words
+from quarry.functions.text import _c, has_valid_sentence, let, ngrams, word_count, words
 
 #: Whole words of a domain; parameters of the functions that use them.
 DOMAIN = "patient treatment disease clinical trial study therapy drug dose symptom diagnosis chronic acute risk adverse effect placebo efficacy".split()
@@ -55,9 +55,8 @@ def _share(a: Column, b: Column) -> Column:
 
 def repetition(tokens: Column, n: int) -> Column:
     """Distinct n-grams that occur again, over all n-grams."""
-    g = F.array_sort(ngrams(tokens, n))
-    again = F.filter(g, lambda x, i: (i > 0) & (x == F.get(g, i - 1)))
-    return _share(F.size(F.array_distinct(again)), F.size(g))
+    again = lambda g: F.filter(g, lambda x, i: (i > 0) & (x == F.get(g, i - 1)))
+    return let(F.array_sort(ngrams(tokens, n)), lambda g: _share(F.size(F.array_distinct(again(g))), F.size(g)))
 
 
 def diversity(text: Column | str) -> dict[str, Column]:

@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quarry.functions.lexical import _share
-from quarry.functions.text import ngrams, words
+from quarry.functions.text import let, ngrams, words
 
 
 def tokens(text: Column | str) -> Column:
@@ -17,8 +18,8 @@ def tokens(text: Column | str) -> Column:
 
 def grams_shared(a: Column, b: Column) -> Column:
     """Size of the intersection of two multisets."""
-    keys = F.array_intersect(a, b)
-    each = F.transform(keys, lambda k: F.least(F.size(F.filter(a, lambda x: x == k)), F.size(F.filter(b, lambda x: x == k))))
+    least = lambda t, k: F.least(F.size(F.filter(t["a"], lambda x: x == k)), F.size(F.filter(t["b"], lambda x: x == k)))
+    each = let(F.struct(a.alias("a"), b.alias("b")), lambda t: F.transform(F.array_intersect(t["a"], t["b"]), lambda k: least(t, k)))
     return F.aggregate(each, F.lit(0), lambda s, x: s + x)
 
 
@@ -34,7 +35,7 @@ def rouge_n(pred: Column, ref: Column, n: int) -> tuple[Column, Column, Column]:
     return p, r, f_score(p, r)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(pred: pd.Series, ref: pd.Series) -> pd.Series:
     """F of the longest common subsequence of two token arrays, row by row of its table in numpy."""
     out = []
@@ -94,8 +95,8 @@ def sari_ngram(src: Column, pred: Column, ref: Column, most: int = 4) -> Column:
     total = F.lit(0.0)
     for n in range(1, most + 1):
         s, p, r = ngrams(src, n), ngrams(pred, n), ngrams(ref, n)
-        fresh = F.filter(p, lambda g, s=s: ~F.array_contains(s, g))
-        gone = F.filter(s, lambda g, p=p, r=r: ~F.array_contains(p, g) & ~F.array_contains(r, g))
+        fresh = let(F.struct(p.alias("p"), s.alias("s")), lambda t: F.filter(t["p"], lambda g: ~F.array_contains(t["s"], g)))
+        gone = let(F.struct(p.alias("p"), s.alias("s"), r.alias("r")), lambda t: F.filter(t["s"], lambda g: ~F.array_contains(t["p"], g) & ~F.array_contains(t["r"], g)))
         total = total + (_share(grams_shared(p, s), F.size(p)) + _share(grams_shared(fresh, r), F.size(p)) + _share(F.size(gone), F.size(s))) / F.lit(3.0)
     return total / F.lit(float(most))
 

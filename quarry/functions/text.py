@@ -15,6 +15,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, also where lambda functions use it again and again."""
+    return F.transform(F.array(value), f)[0]
+
+
 def nfkc(text: Column | str) -> Column:
     """Unicode NFKC, for which Spark has no function; ASCII rows skip Python."""
 
@@ -110,8 +115,8 @@ def compression(source: Column | str, made: Column | str) -> Column:
 
 def without_echo(text: Column | str) -> Column:
     """Words that equal the word before them go."""
-    w = words(text)
-    return F.array_join(F.filter(w, lambda x, i: (i == 0) | (x != F.get(w, i - 1))), " ")
+    kept = let(words(text), lambda w: F.filter(w, lambda x, i: (i == 0) | (x != F.get(w, i - 1))))
+    return F.array_join(kept, " ")
 
 
 def preview(text: Column | str, size: int = 200) -> Column:
@@ -125,4 +130,5 @@ def content_key(original: Column | str, summary: Column | str) -> Column:
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens, joined by blanks."""
     none = F.array().cast("array<string>")
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(none)
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+    return let(tokens, lambda t: F.when(F.size(t) >= n, runs(t)).otherwise(none))

@@ -8,14 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import words
+from quarry.functions.text import let, words
 
 
 def token_windows(text: Column | str, size: int = 450, overlap: int = 50) -> Column:
     """Arrays of at most ``size`` words that start every ``size - overlap`` words; a short text is one."""
-    w, step = words(text), size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.size(w) - size) / step).cast("int"))
-    return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(w, i * step + 1, size))).otherwise(F.array().cast("array<array<string>>"))
+    step = size - overlap
+    last = lambda w: F.greatest(F.lit(0), F.ceil((F.size(w) - size) / step).cast("int"))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), last(w)), lambda i: F.slice(w, i * step + 1, size))
+    return let(words(text), lambda w: F.when(F.size(w) > 0, cut(w)).otherwise(F.array().cast("array<array<string>>")))
 
 
 def expand_tokens(df: DataFrame, text_col: str, size: int = 450, overlap: int = 50) -> DataFrame:

@@ -18,7 +18,9 @@ def detect_language(text: Column | str) -> Column:
     from quarry.functions.text import words
 
     w = F.transform(words(F.substring(text, 1, 1000)), F.lower)
-    hits = [F.struct(F.size(F.filter(w, lambda x, p=p: F.array_contains(F.array(*map(F.lit, p.split())), x))).alias("n"), F.lit(k).alias("lang")) for k, p in _PROFILES.items()]
+    known = {k: F.array(*map(F.lit, p.split())) for k, p in _PROFILES.items()}
+    share = lambda a: F.size(F.filter(w, lambda x: F.array_contains(a, x)))
+    hits = [F.struct(share(a).alias("n"), F.lit(k).alias("lang")) for k, a in known.items()]
     best = F.array_max(F.array(*hits))
     return F.when(best["n"] > 0, best["lang"]).otherwise("unknown")
 

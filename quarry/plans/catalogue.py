@@ -5,6 +5,521 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import lexical as L
+from quarry.functions import metrics as M
+from quarry.functions import readability as R
+from quarry.functions import text as X
+from quarry.operators import chunking, classify, dedup, filters, providers, rewrite, splits, stats
+from quarry.plans import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def labelled(spark: SparkSession, sf: str, how: str = "inner") -> DataFrame:
+    return docs(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", how)
+
+
+def triples(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns with the assistant's next turn, and a reference by the number of the conversation."""
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    b = spark.read.parquet(f"{sf}/benchmark.parquet")
+    n = b.agg(F.count(F.lit(1)).alias("items"))
+    user = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("source"))
+    reply = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("pred"))
+    pairs = user.join(reply, ["conv_id", "turn"]).crossJoin(F.broadcast(n)).withColumn("item_id", F.col("conv_id") % F.col("items"))  # one row
+    return pairs.join(b.withColumnRenamed("text", "ref"), "item_id").withColumns({"s": M.tokens("source"), "p": M.tokens("pred"), "r": M.tokens("ref")})
+
+
+STEPS = {"fre_ok": F.col("fre") >= 55, "fkg_ok": F.col("fkg") <= 10, "length_ok": F.col("n_words").between(150, 250), "plain_ok": F.col("confidence") >= 0.5}
+K = ("conv_id", "turn")
+r6 = lambda c: F.round(c, 6)
+
+
+@query(f"""WITH {S.SCORED} SELECT source, count(*) AS total, count(*) FILTER (fre >= 55) AS fre_ok, count(*) FILTER (fre >= 55 AND fkg <= 10) AS fkg_ok,
+    count(*) FILTER (fre >= 55 AND fkg <= 10 AND n_words BETWEEN 150 AND 250) AS length_ok,
+    count(*) FILTER (fre >= 55 AND fkg <= 10 AND n_words BETWEEN 150 AND 250 AND confidence >= 0.5) AS plain_ok FROM judged GROUP BY source""")
+def flagship_funnel(spark, sf):
+    return filters.funnel(L.classified(docs(spark, sf)), STEPS, ["source"])
+
+
+@query(f"SELECT doc_id, len({S.WORDS})::BIGINT AS n_words FROM documents")
+def word_counts(spark, sf):
+    return docs(spark, sf).select("doc_id", X.word_count("text").alias("n_words"))
+
+
+@query(rf"""SELECT doc_id, length(text)::BIGINT AS chars, len({S.WORDS})::BIGINT AS words, len(list_filter(string_split(text, '.'), lambda x: regexp_matches(x, '\S')))::BIGINT AS sentences,
+    len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_matches(x, '\S')))::BIGINT AS paragraphs FROM documents""")
+def length_metrics(spark, sf):
+    part = lambda p: F.size(F.filter(F.split("text", p), lambda x: x.rlike("\\S"))).cast("bigint")
+    return docs(spark, sf).select("doc_id", F.length("text").cast("bigint").alias("chars"), X.word_count("text").alias("words"), part("\\.").alias("sentences"), part("\n\\s*\n").alias("paragraphs"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'),
+    '[ \t\f\v\r]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS norm FROM documents""")
+def norm_text(spark, sf):
+    return docs(spark, sf).select("doc_id", X.normalise("text", compose=False).alias("norm"))
+
+
+@query(f"SELECT doc_id, len({S.SENTENCES})::BIGINT AS n, len(list_filter({S.SENTENCES}, lambda x: len(regexp_extract_all(x, '\\S+')) >= 3))::BIGINT AS valid FROM documents")
+def sentence_stats(spark, sf):
+    s = X.sentences("text")
+    return docs(spark, sf).select("doc_id", F.size(s).cast("bigint").alias("n"), F.size(F.filter(s, lambda x: F.regexp_count(x, F.lit("\\S+")) >= 3)).cast("bigint").alias("valid"))
+
+
+@query(f"SELECT source, count(*) AS n FROM documents WHERE len(list_filter({S.SENTENCES}, lambda x: len(regexp_extract_all(x, '\\S+')) >= 3)) > 0 GROUP BY source")
+def valid_sentences(spark, sf):
+    return docs(spark, sf).filter(X.has_valid_sentence("text")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT doc_id, trunc(n / 0.75::DOUBLE)::BIGINT AS t1, trunc(n * 1.33::DOUBLE)::BIGINT AS t2, (length(text) // 4)::BIGINT AS t3,
+    n / 1e6::DOUBLE * 0.15::DOUBLE + n / 1e6::DOUBLE * 0.6::DOUBLE AS cost FROM (SELECT *, len({S.WORDS})::BIGINT AS n FROM documents)""")
+def token_cost(spark, sf):
+    n = X.word_count("text")
+    return docs(spark, sf).select("doc_id", X.tokens_from_words("text").alias("t1"), X.tokens_per_word("text").alias("t2"), X.tokens_from_chars("text").alias("t3"), X.cost_usd(n, n).alias("cost"))
+
+
+_ISSUES = rf"""issues AS (SELECT doc_id, source, array_to_string(list_filter([
+    CASE WHEN length(text) < 100 THEN 'Too_short' END, CASE WHEN length(text) > 5000 THEN 'Too_long' END, CASE WHEN n < 15 THEN 'Too_few_words' END, CASE WHEN n > 800 THEN 'Too_many_words' END,
+    CASE WHEN lang <> 'en' THEN 'Wrong_language' END, CASE WHEN len(list_filter({S.SENTENCES}, lambda x: len(regexp_extract_all(x, '\S+')) >= 3)) = 0 THEN 'No_valid_sentence' END,
+    CASE WHEN regexp_matches(text, '[|]{{2,}}') THEN 'OCR_pipes' END, CASE WHEN regexp_matches(text, '[0-9][A-Za-z][0-9]') THEN 'OCR_mixed' END,
+    CASE WHEN regexp_matches(text, '[bcdfghjklmnpqrstvwxz]{{7,}}') THEN 'OCR_consonants' END, CASE WHEN {S.SPECIAL} > length(text) * 0.02 THEN 'OCR_special' END], lambda x: x IS NOT NULL), '|') AS issues
+    FROM (SELECT *, len({S.WORDS}) AS n FROM documents))"""
+
+
+@query(f"WITH {_ISSUES} SELECT doc_id, issues, NOT regexp_matches(issues, 'Empty|Too_short|Too_few_words|Wrong_language') AS valid FROM issues")
+def quality_flags(spark, sf):
+    d = docs(spark, sf).withColumn("i", L.quality_issues("text", "lang"))
+    return d.select("doc_id", F.array_join("i", "|").alias("issues"), L.is_valid(F.col("i")).alias("valid"))
+
+
+@query(f"WITH {_ISSUES} SELECT issue, count(*) AS n FROM (SELECT unnest(string_split(issues, '|')) AS issue FROM issues WHERE issues <> '') GROUP BY issue")
+def quality_issue_counts(spark, sf):
+    return docs(spark, sf).select(F.explode(L.quality_issues("text", "lang")).alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT doc_id, {S.share(f"len(list_filter({S.WORDS}, lambda x: list_contains({S.names(L.DOMAIN)}, lower(x))))", f"len({S.WORDS})")} AS share FROM documents""")
+def medical_density(spark, sf):
+    return docs(spark, sf).select("doc_id", L.domain_share("text").alias("share"))
+
+
+@query(f"SELECT doc_id, ({S.TECHNICAL})::BIGINT AS technical, len(list_filter({S.names(L.DOMAIN)}, lambda x: contains(lower(text), x)))::BIGINT AS present FROM documents")
+def technical_terms(spark, sf):
+    return docs(spark, sf).select("doc_id", L.term_count("text").alias("technical"), L.present_terms("text").alias("present"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{M}\p{N}_]+'), lambda x: regexp_matches(x, '^[A-Z]{2,}$')))::BIGINT AS acronyms FROM documents")
+def acronyms(spark, sf):
+    return docs(spark, sf).select("doc_id", L.acronyms("text").alias("acronyms"))
+
+
+@query(f"WITH {S.SCORED} SELECT doc_id, round(fre, 6) AS fre, round(fkg, 6) AS fkg, round(avg_word_length, 6) AS avg_word_length FROM scored")
+def readability(spark, sf):
+    return L.classified(docs(spark, sf)).select("doc_id", *[r6(F.col(c)).alias(c) for c in ("fre", "fkg", "avg_word_length")])
+
+
+@query(f"""WITH {S.COUNTS} SELECT doc_id, round(0.4::DOUBLE * ({S.share("n_words", "n_sentences")} + 100.0 * {S.share("n_complex", "n_words")}), 6) AS fog,
+    round(4.71::DOUBLE * {S.LENGTH} + 0.5 * {S.share("n_words", "n_sentences")} - 21.43::DOUBLE, 6) AS ari,
+    round(0.0588::DOUBLE * (100.0 * {S.LENGTH}) - 0.296::DOUBLE * (100.0 * {S.share("n_sentences", "n_words")}) - 15.8::DOUBLE, 6) AS coleman_liau,
+    round(1.043::DOUBLE * sqrt(30.0 * {S.share("n_complex", "n_sentences")}) + 3.1291::DOUBLE, 6) AS smog,
+    round(CASE WHEN l > 20 THEN l / 2 ELSE l / 2 - 1 END, 6) AS linsear, round(CASE WHEN h > 5 THEN 0.1579::DOUBLE * h + 0.0496::DOUBLE * {S.share("n_words", "n_sentences")} + 3.6365::DOUBLE
+        ELSE 0.1579::DOUBLE * h + 0.0496::DOUBLE * {S.share("n_words", "n_sentences")} END, 6) AS dale_chall
+    FROM (SELECT *, {S.share("n_words + 2 * n_complex", "n_sentences")} AS l,
+        100.0 * {S.share(f"len(list_filter(w, lambda x: NOT list_contains({S.names(R.FAMILIAR)}, regexp_replace(lower(x), '[^a-z]', '', 'g'))))", "n_words")} AS h FROM counts)""")
+def readability_battery(spark, sf):
+    return R.battery(docs(spark, sf)).select("doc_id", *[r6(F.col(c)).alias(c) for c in ("fog", "ari", "coleman_liau", "smog", "linsear", "dale_chall")])
+
+
+def _again(n: int) -> str:
+    g = S.grams("lw", n)
+    return S.share(f"len(list_distinct(list_filter(list_transform(range(2, len(g{n}) + 1), lambda i: CASE WHEN g{n}[i] = g{n}[i - 1] THEN g{n}[i] END), lambda x: x IS NOT NULL)))", f"len(g{n})") if g else ""
+
+
+_DIVERSE = f"""diverse AS (SELECT *, {S.share("len(list_distinct(lw))", "len(lw)")} AS ttr, {_again(2)} AS b, {_again(3)} AS t, len(list_distinct(lw))::BIGINT AS unique_words,
+    len(list_distinct(st)) AS sd, len(st) AS sn FROM (SELECT *, list_sort({S.grams("lw", 2)}) AS g2, list_sort({S.grams("lw", 3)}) AS g3,
+    list_filter(list_transform(string_split(text, '.'), lambda x: lower(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))), lambda x: length(x) > 10) AS st FROM (SELECT *, {S.LOWER} AS lw FROM documents)))"""
+
+
+@query(f"WITH {_DIVERSE} SELECT doc_id, round(ttr, 6) AS ttr, round(b, 6) AS repeated_bigrams, round(t, 6) AS repeated_trigrams, unique_words FROM diverse")
+def lexical_diversity(spark, sf):
+    d = L.diversity("text")
+    return docs(spark, sf).select("doc_id", *[r6(d[c]).alias(c) for c in ("ttr", "repeated_bigrams", "repeated_trigrams")], d["unique_words"].alias("unique_words"))
+
+
+@query(f"WITH {_DIVERSE} SELECT doc_id, (sn - sd)::BIGINT AS repeated FROM diverse WHERE sn > sd")
+def repeated_sentences(spark, sf):
+    return docs(spark, sf).select("doc_id", L.repeated_sentences("text").alias("repeated")).filter("repeated > 0")
+
+
+@query(f"""WITH {_DIVERSE} SELECT doc_id, f = 0 AS valid, CASE f WHEN 0 THEN 'excellent' WHEN 1 THEN 'good' WHEN 2 THEN 'acceptable' ELSE 'poor' END AS tier
+    FROM (SELECT *, (len(lw) NOT BETWEEN 140 AND 210)::INT + (sn > sd)::INT + (ttr < 0.4)::INT + (t > 0.3)::INT AS f FROM diverse)""")
+def quality_tier(spark, sf):
+    valid, tier = L.tier("text")
+    return docs(spark, sf).select("doc_id", valid.alias("valid"), tier.alias("tier"))
+
+
+@query(f"""WITH {S.SCORED} SELECT doc_id, round(confidence, 6) AS confidence, confidence >= 0.5 AS is_plain, concat_ws('; ', CASE WHEN fre >= 60 THEN 'easy to read' WHEN fre >= 50 THEN 'fairly easy to read' ELSE 'hard to read' END,
+    CASE WHEN fkg <= 8 THEN 'low grade' WHEN fkg <= 12 THEN 'middle grade' ELSE 'high grade' END, CASE WHEN avg_word_length <= 4.5 THEN 'short words' WHEN avg_word_length <= 5.5 THEN 'medium words' ELSE 'long words' END,
+    CASE WHEN density < 2 THEN 'few terms' WHEN density < 5 THEN 'some terms' ELSE 'many terms' END) AS reasons FROM judged""")
+def heuristic_classify(spark, sf):
+    return L.classified(docs(spark, sf)).select("doc_id", r6(F.col("confidence")).alias("confidence"), "is_plain", "reasons")
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS key FROM documents GROUP BY text")
+def exact_dedup(spark, sf):
+    return dedup.first_of(docs(spark, sf).withColumn("key", F.sha2("text", 256)), ["key"], ["doc_id"]).select("doc_id", "key")
+
+
+@query("SELECT sha256(text) AS key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_groups(spark, sf):
+    return dedup.duplicate_groups(docs(spark, sf), F.sha2("text", 256), "doc_id")
+
+
+def _chosen(strata: str, fraction: float, table: str = "documents") -> str:
+    return f"""SELECT *, row_number() OVER (PARTITION BY {strata} ORDER BY sha256('42|' || doc_id), doc_id) <= round_even({fraction}::DOUBLE * count(*) OVER (PARTITION BY {strata}), 0) AS chosen FROM {table}"""
+
+
+@query(f"SELECT doc_id, quality, chosen FROM ({_chosen('quality', 0.2, 'labels')})")
+def stratified_split(spark, sf):
+    return splits.stratified(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", ["quality"], 0.2).select("doc_id", "quality", "chosen")
+
+
+@query(f"SELECT doc_id, chosen FROM ({_chosen('lang, source', 0.1)})")
+def stratified_two_keys(spark, sf):
+    return splits.stratified(docs(spark, sf), "doc_id", ["lang", "source"], 0.1).select("doc_id", "chosen")
+
+
+@query(f"""WITH s AS (SELECT lang, CASE WHEN chosen THEN 'test' ELSE 'train' END AS split FROM ({_chosen('lang', 0.2)})),
+    n AS (SELECT split, lang, count(*) AS n FROM s GROUP BY ALL) SELECT round(max(abs(own - al)), 6) AS drift FROM
+    (SELECT n::DOUBLE / sum(n) OVER (PARTITION BY split) AS own, (sum(n) OVER (PARTITION BY lang))::DOUBLE / sum(n) OVER () AS al FROM n)""")
+def split_proportion_drift(spark, sf):
+    d = splits.stratified(docs(spark, sf), "doc_id", ["lang"], 0.2)
+    return splits.drift(d.withColumn("split", F.when(F.col("chosen"), "test").otherwise("train")), "lang")
+
+
+_BY_KEY = "CASE WHEN ('0x' || substr(sha256('42|' || {k}), 1, 8))::BIGINT::DOUBLE / 4294967296.0 < 0.8 THEN 'train' WHEN ('0x' || substr(sha256('42|' || {k}), 1, 8))::BIGINT::DOUBLE / 4294967296.0 < 0.9 THEN 'dev' ELSE 'test' END"
+
+
+@query(f"SELECT doc_id, {_BY_KEY.format(k='text')} AS split FROM documents")
+def split_by_input(spark, sf):
+    return splits.split_by_key(docs(spark, sf), F.col("text")).select("doc_id", "split")
+
+
+@query(f"SELECT key, n_splits FROM (SELECT sha256(text) AS key, count(DISTINCT split)::BIGINT AS n_splits FROM (SELECT text, {_BY_KEY.format(k='doc_id')} AS split FROM documents) GROUP BY text) WHERE n_splits > 1")
+def split_leakage(spark, sf):
+    return splits.leakage(splits.split_by_key(docs(spark, sf), F.col("doc_id").cast("string")), F.sha2("text", 256))
+
+
+@query("SELECT doc_id, quality, trim(text) AS chosen_text FROM documents JOIN labels USING (doc_id) WHERE length(trim(text)) >= 50 AND quality IS NOT NULL")
+def label_select_text(spark, sf):
+    return filters.by_label(labelled(spark, sf), "quality", "text", "text").select("doc_id", "quality", "chosen_text")
+
+
+_Q = ", ".join(f"round(quantile_cont(n_chars, {q}), 6) AS {n}" for q, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"), (0.9, "q90"), (0.95, "q95"), (0.99, "q99")))
+
+
+@query(f"SELECT count(*) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, min(n_chars) AS least, max(n_chars) AS most, {_Q} FROM documents")
+def describe_lengths(spark, sf):
+    return stats.describe(docs(spark, sf), "n_chars")
+
+
+@query(" UNION ALL ".join(f"SELECT '{g}' AS grouping, {g} AS value, count(*) AS n, round(avg(n_chars), 6) AS mean, round(median(n_chars), 6) AS median FROM documents GROUP BY {g}" for g in ("source", "lang")))
+def group_length_stats(spark, sf):
+    return stats.grouped(docs(spark, sf), "n_chars", ["source", "lang"])
+
+
+@query(f"""SELECT *, CASE WHEN truncated_pct > 50 THEN 'chunk' WHEN truncated_pct > 20 THEN 'consider chunking' ELSE 'fine' END AS advice FROM (SELECT count(*) AS "rows", count(*) FILTER (n > 512) AS truncated,
+    round(100.0::DOUBLE * count(*) FILTER (n > 512) / count(*), 6) AS truncated_pct, round(coalesce(avg(n - 512) FILTER (n > 512), 0.0), 6) AS mean_lost, coalesce(sum(n - 512) FILTER (n > 512), 0)::BIGINT AS total_lost,
+    round(avg(greatest(n - 512, 0)), 6) AS mean_lost_all FROM (SELECT len({S.WORDS})::BIGINT AS n FROM documents))""")
+def truncation_stats(spark, sf):
+    return stats.truncation(docs(spark, sf).withColumn("n", X.word_count("text")), "n", 512)
+
+
+@query("SELECT source, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY source")
+def value_shares(spark, sf):
+    return splits.shares(docs(spark, sf), "source")
+
+
+@query(f"WITH {S.SCORED} SELECT CASE WHEN fre >= 70 THEN 'easy' WHEN fre >= 60 THEN 'plain' WHEN fre >= 50 THEN 'fairly hard' ELSE 'hard' END AS band, count(*) AS n FROM scored GROUP BY ALL")
+def metric_bands(spark, sf):
+    return L.classified(docs(spark, sf)).groupBy(L.fre_band(F.col("fre")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_OVER = f"""over_ AS (SELECT conv_id, turn, ({S.share(S.both('a', 'b'), S.union('a', 'b'))} + {S.share(S.both('a', 'b'), 'len(b)')}) / 2.0 AS overlap
+    FROM (SELECT conv_id, turn, {S.of(S.BARE.replace('lower(text)', 'lower(source)'), 'text')} AS a, {S.BARE.replace('lower(text)', 'lower(pred)')} AS b FROM triples))"""
+
+
+def _overlaps(spark, sf):
+    return triples(spark, sf).withColumn("overlap", L.overlap("source", "pred"))
+
+
+@query(f"WITH {S.TRIPLES}, {_OVER} SELECT conv_id, turn, round(overlap, 6) AS overlap FROM over_")
+def overlap_pairs(spark, sf):
+    return _overlaps(spark, sf).select(*K, r6(F.col("overlap")).alias("overlap"))
+
+
+@query(f"""WITH {S.TRIPLES} SELECT conv_id, turn, round({S.share(S.both('a', 'b'), S.union('a', 'b'))}, 6) AS bigrams FROM
+    (SELECT conv_id, turn, list_distinct({S.grams('s', 2)}) AS a, list_distinct({S.grams('p', 2)}) AS b FROM triples)""")
+def ngram_overlap(spark, sf):
+    return triples(spark, sf).select(*K, r6(L.ngram_overlap("source", "pred")).alias("bigrams"))
+
+
+@query(f"""WITH {S.TRIPLES}, {_OVER} SELECT count(*) AS pairs, count(*) FILTER (overlap BETWEEN 0.02 AND 0.75) AS kept, round(avg(overlap), 6) AS mean, round(median(overlap), 6) AS median,
+    count(*) FILTER (overlap < 0.5) AS below_50, count(*) FILTER (overlap < 0.6) AS below_60, count(*) FILTER (overlap < 0.7) AS below_70 FROM over_""")
+def overlap_filter_stats(spark, sf):
+    o = F.col("overlap")
+    below = [F.count_if(o < t / 100).alias(f"below_{t}") for t in (50, 60, 70)]
+    return _overlaps(spark, sf).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(o.between(0.02, 0.75)).alias("kept"), r6(F.avg(o)).alias("mean"), r6(F.median(o)).alias("median"), *below)
+
+
+@query(f"WITH {S.TRIPLES}, {_OVER} SELECT conv_id, turn, round(overlap, 6) AS overlap FROM over_ ORDER BY over_.overlap, conv_id, turn LIMIT 3")
+def topk_low_overlap(spark, sf):
+    return _overlaps(spark, sf).orderBy("overlap", *K).limit(3).select(*K, r6(F.col("overlap")).alias("overlap"))
+
+
+def _sari() -> tuple[str, str, str]:
+    k = f"list_intersect(ss, rs)"  # noqa: F541
+    n, o = S.missing("rs", "ss"), S.missing("ss", "rs")
+    return S.share(S.both(k, "ps"), f"len({k})"), S.share(S.both(n, "ps"), f"len({n})"), S.share(f"len({S.missing(o, 'ps')})", f"len({o})")
+
+
+@query("WITH {t}, {s} SELECT conv_id, turn, round({k}, 6) AS sari_keep, round({a}, 6) AS sari_add, round({d}, 6) AS sari_delete, round(({k} + {a} + {d}) / 3.0, 6) AS sari FROM sets".format(t=S.TRIPLES, s=S.SETS, **dict(zip("kad", _sari(), strict=True))))
+def sari_set(spark, sf):
+    made = M.sari_set(F.col("s"), F.col("p"), F.col("r"))
+    return triples(spark, sf).select(*K, *[r6(v).alias(k) for k, v in made.items()])
+
+
+@query(f"""WITH {S.TRIPLES}, {S.SETS} SELECT conv_id, turn, round(({S.share(S.both('list_intersect(ss, ps)', 'rs'), 'len(ps)')} + {S.share(f"len({S.missing('list_intersect(ps, rs)', 'ss')})", 'len(ps)')}
+    + {S.share(S.both(S.missing('ss', 'ps'), 'rs'), 'len(ss)')}) / 3.0, 6) AS sari FROM sets""")
+def sari_simple(spark, sf):
+    return triples(spark, sf).select(*K, r6(M.sari_simple(F.col("s"), F.col("p"), F.col("r"))).alias("sari"))
+
+
+def _sari_n(n: int) -> str:
+    fresh, gone = S.missing(f"p{n}", f"s{n}"), S.missing(f"list_filter(s{n}, lambda x: NOT list_contains(p{n}, x))", f"r{n}")
+    return f"({S.share(S.multi(f'p{n}', f's{n}'), f'len(p{n})')} + {S.share(S.multi(fresh, f'r{n}'), f'len(p{n})')} + {S.share(f'len({gone})', f'len(s{n})')}) / 3.0"
+
+
+_GRAMS = f"""grams AS (SELECT conv_id, turn, s, p, r, {", ".join(f"{S.grams(x, n)} AS {x}{n}" for x in "spr" for n in (1, 2, 3, 4))} FROM triples)"""
+
+
+@query(f"WITH {S.TRIPLES}, {_GRAMS} SELECT conv_id, turn, round(({' + '.join(map(_sari_n, (1, 2, 3, 4)))}) / 4.0, 6) AS sari FROM grams")
+def sari_ngram(spark, sf):
+    return triples(spark, sf).select(*K, r6(M.sari_ngram(F.col("s"), F.col("p"), F.col("r"))).alias("sari"))
+
+
+_F1 = "CASE WHEN a + b = 0 THEN 0.0 ELSE 2.0::DOUBLE * a * b / (a + b) END"
+
+
+@query(f"WITH {S.TRIPLES}, {S.SETS} SELECT conv_id, turn, round({_F1}, 6) AS meteor FROM (SELECT *, {S.share(S.both('ps', 'rs'), 'len(ps)')} AS a, {S.share(S.both('ps', 'rs'), 'len(rs)')} AS b FROM sets)")
+def meteor_f1(spark, sf):
+    return triples(spark, sf).select(*K, r6(M.set_f1(F.col("p"), F.col("r"))).alias("meteor"))
+
+
+@query(f"WITH {S.TRIPLES}, {S.SETS} SELECT conv_id, turn, round(least(1.0, 1.5 * {S.share(S.both('ps', 'ss'), 'len(ps)')}), 6) AS factual, round({S.share(S.both('ps', 'rs'), 'len(rs)')}, 6) AS label_overlap FROM sets")
+def factuality_overlap(spark, sf):
+    return triples(spark, sf).select(*K, r6(M.factual(F.col("s"), F.col("p"))).alias("factual"), r6(M.label_overlap(F.col("p"), F.col("r"))).alias("label_overlap"))
+
+
+def _rouge(n: int) -> str:
+    return f"SELECT conv_id, turn, {n} AS n, {S.share(S.multi(f'p{n}', f'r{n}'), f'len(p{n})')} AS a, {S.share(S.multi(f'p{n}', f'r{n}'), f'len(r{n})')} AS b FROM grams"
+
+
+@query(f"WITH {S.TRIPLES}, {_GRAMS} SELECT conv_id, turn, n, round(a, 6) AS p, round(b, 6) AS r, round({_F1}, 6) AS f FROM ({_rouge(1)} UNION ALL {_rouge(2)})")
+def rouge_n(spark, sf):
+    rows = F.array(*[F.struct(F.lit(n).alias("n"), *[r6(v).alias(k) for k, v in zip("prf", M.rouge_n(F.col("p"), F.col("r"), n), strict=True)]) for n in (1, 2)])
+    return triples(spark, sf).select(*K, F.explode(rows).alias("x")).select(*K, "x.*")
+
+
+def _precision(n: int) -> str:
+    hits = S.multi(f"p{n}", f"r{n}")
+    return f"ln((CASE WHEN {hits} = 0 THEN 0.1 ELSE {hits} END)::DOUBLE / greatest(len(p{n}), 1))"
+
+
+@query(f"""WITH {S.TRIPLES}, {_GRAMS} SELECT conv_id, turn, round((CASE WHEN len(p) = 0 THEN 0.0 WHEN len(p) > len(r) THEN 1.0 ELSE exp(1.0 - len(r)::DOUBLE / len(p)) END)
+    * exp(({' + '.join(map(_precision, (1, 2, 3, 4)))}) / 4.0), 6) AS bleu FROM grams""")
+def bleu_n(spark, sf):
+    return triples(spark, sf).select(*K, r6(M.bleu(F.col("p"), F.col("r"))).alias("bleu"))
+
+
+@query()
+def rouge_l(spark, sf):
+    return triples(spark, sf).select(*K, r6(M.rouge_l(F.col("p"), F.col("r"))).alias("rouge_l"))
+
+
+@query()
+def evaluate_all(spark, sf):
+    return M.evaluate(triples(spark, sf).select(*K, "source", "pred", "ref"), "source", "pred", "ref").drop("source", "pred", "ref")
+
+
+_CHUNKS = f"""chunks AS (SELECT doc_id, unnest(generate_series(0, greatest(0, ceil((len(w) - 450) / 400.0)::BIGINT))) AS chunk_id, w FROM (SELECT doc_id, {S.WORDS} AS w FROM documents) WHERE len(w) > 0)"""
+
+
+@query(f"""WITH {_CHUNKS} SELECT doc_id, chunk_id::INTEGER AS chunk_id, (count(*) OVER (PARTITION BY doc_id))::INTEGER AS total_chunks, len(w)::INTEGER AS original_tokens,
+    len(w[chunk_id * 400 + 1 : chunk_id * 400 + 450])::INTEGER AS chunk_tokens, md5(array_to_string(w[chunk_id * 400 + 1 : chunk_id * 400 + 450], ' ')) AS key FROM chunks""")
+def chunk_tokens(spark, sf):
+    out = chunking.expand_tokens(docs(spark, sf).select("doc_id", "text"), "text")
+    return out.select("doc_id", "chunk_id", "total_chunks", "original_tokens", "chunk_tokens", F.md5("chunk").alias("key"))
+
+
+@query(f"""WITH {S.TRIPLES}, c AS (SELECT conv_id, turn, w, v, greatest(0, ceil((len(v) - 40) / 30.0)::BIGINT) AS last, unnest(generate_series(0, greatest(0, ceil((len(w) - 40) / 30.0)::BIGINT))) AS i
+    FROM (SELECT conv_id, turn, {S.of(S.WORDS, 'source')} AS w, {S.of(S.WORDS, 'pred')} AS v FROM triples) WHERE len(w) > 0)
+    SELECT conv_id, turn, i::INTEGER AS chunk_id, md5(array_to_string(w[i * 30 + 1 : i * 30 + 40], ' ')) AS source_key, md5(array_to_string(v[least(i, last) * 30 + 1 : least(i, last) * 30 + 40], ' ')) AS target_key FROM c""")
+def chunk_expand_pairs(spark, sf):
+    out = chunking.expand_pairs(triples(spark, sf).select(*K, "source", "pred"), "source", "pred", 40, 10)
+    return out.select(*K, "chunk_id", F.md5("source_chunk").alias("source_key"), F.md5("target_chunk").alias("target_key"))
+
+
+@query()
+def chunk_paragraphs(spark, sf):
+    return chunking.chunked(docs(spark, sf).select("doc_id", "text"), "text", "paragraphs").drop("text")
+
+
+@query()
+def chunk_semantic(spark, sf):
+    return chunking.chunked(docs(spark, sf).select("doc_id", "text"), "text", "semantic").drop("text")
+
+
+@query()
+def chunk_recursive(spark, sf):
+    return chunking.chunked(docs(spark, sf).select("doc_id", "text"), "text", "recursive").drop("text")
+
+
+_PRED = f"{S.SCORED}, pred AS (SELECT j.*, quality, (confidence >= 0.75)::INT AS pred FROM judged j JOIN labels USING (doc_id))"
+
+
+def _predicted(spark, sf):
+    return L.classified(labelled(spark, sf)).withColumn("pred", (F.col("confidence") >= 0.75).cast("int"))
+
+
+@query(f"WITH {_PRED} SELECT quality, pred, count(*) AS n FROM pred GROUP BY ALL")
+def confusion_matrix(spark, sf):
+    return stats.confusion(_predicted(spark, sf), "quality", "pred")
+
+
+def _class_sql(by: str, having: str = "") -> str:
+    d = lambda a, b: f"(CASE WHEN {b} = 0 THEN 0.0::DOUBLE ELSE ({a})::DOUBLE / ({b}) END)"
+    f1, f0 = d("2 * tp", "(2 * tp + fp + fn)"), d("2 * tn", "(2 * tn + fp + fn)")
+    g = by and f"{by}, "
+    return f"""WITH {_PRED}, c AS (SELECT {g}count(*) AS n, count(*) FILTER (quality = 1 AND pred = 1) AS tp, count(*) FILTER (quality <> 1 AND pred = 1) AS fp, count(*) FILTER (quality = 1 AND pred <> 1) AS fn,
+        count(*) FILTER (quality <> 1 AND pred <> 1) AS tn FROM pred {by and 'GROUP BY ' + by} {having}) SELECT {g}n, round({d('tp + tn', 'n')}, 6) AS accuracy, round({d('tp', '(tp + fp)')}, 6) AS "precision",
+        round({d('tp', '(tp + fn)')}, 6) AS recall, round({f1}, 6) AS f1, round(({f1} + {f0}) / 2.0, 6) AS macro_f1, round(({f1} * (tp + fn) + {f0} * (tn + fp)) / n, 6) AS weighted_f1 FROM c"""
+
+
+@query(_class_sql(""))
+def class_metrics(spark, sf):
+    return stats.class_metrics(_predicted(spark, sf), "quality", "pred")
+
+
+@query(_class_sql("source", "HAVING count(*) >= 10"))
+def source_metrics(spark, sf):
+    return stats.class_metrics(_predicted(spark, sf), "quality", "pred", ["source"], 10)
+
+
+_RANKS = f"""WITH {_PRED}, r AS (SELECT quality, rank() OVER (ORDER BY round(fre, 6)) + (count(*) OVER (PARTITION BY round(fre, 6)) - 1) / 2.0 AS k FROM pred),
+    u AS (SELECT count(*) FILTER (quality = 1) AS n1, count(*) FILTER (quality = 0) AS n0, sum(k) FILTER (quality = 1) AS r1 FROM r)"""
+
+
+def _ranked(spark, sf):
+    return _predicted(spark, sf).withColumn("fre", r6(F.col("fre")))
+
+
+@query(f"{_RANKS} SELECT round((r1 - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) AS auc FROM u")
+def roc_auc(spark, sf):
+    return stats.roc_auc(_ranked(spark, sf), "fre", "quality")
+
+
+@query(f"{_RANKS} SELECT n1, n0, (r1 - n1 * (n1 + 1) / 2.0)::DOUBLE AS u FROM u")
+def mann_whitney_u(spark, sf):
+    return stats.mann_whitney(_ranked(spark, sf), "fre", "quality")
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1)) AS term FROM documents),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), c AS (SELECT term, count(*) AS df, sum(tf) AS occurs FROM tf GROUP BY term), n AS (SELECT count(*) AS docs FROM documents),
+    k AS (SELECT * FROM c, n WHERE df >= 2 AND df <= 0.95 * docs ORDER BY occurs DESC, term LIMIT 10000), w AS (SELECT doc_id, term, tf, tf * (ln((1.0::DOUBLE + docs) / (1.0::DOUBLE + df)) + 1) AS raw FROM tf JOIN k USING (term))
+    SELECT doc_id, term, tf, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
+def tfidf_terms(spark, sf):
+    return stats.tfidf(docs(spark, sf), "doc_id", "text")
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i = 1 OR w[i] <> w[i - 1] THEN w[i] END), lambda x: x IS NOT NULL), ' ') AS text FROM (SELECT doc_id, {S.WORDS} AS w FROM documents)")
+def dedup_adjacent_words(spark, sf):
+    return docs(spark, sf).select("doc_id", X.without_echo("text").alias("text"))
+
+
+@query(f"""WITH {S.SCORED}, m AS (SELECT lang, round(avg(fre), 6) AS fre, round(avg(fkg), 6) AS fkg FROM scored GROUP BY lang)
+    SELECT lang, fre, fkg, (fre = max(fre) OVER ())::BIGINT + (fkg = min(fkg) OVER ())::BIGINT AS points FROM m""")
+def version_compare(spark, sf):
+    return stats.compare_versions(L.classified(docs(spark, sf)), "lang", {"fre": True, "fkg": False})
+
+
+@query(f"""WITH {S.SCORED} SELECT source, round((100.0 * least(1.0, greatest(0.0, avg(fre) / 100.0)) + 100.0 * avg((confidence >= 0.5)::INT)) / 2.0, 6) AS score FROM judged GROUP BY source""")
+def composite_score(spark, sf):
+    d = L.classified(docs(spark, sf)).groupBy("source").agg(F.avg("fre").alias("f"), F.avg(F.col("is_plain").cast("int")).alias("p"))
+    return d.select("source", r6((F.lit(100.0) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("f") / 100.0)) + F.lit(100.0) * F.col("p")) / 2.0).alias("score"))
+
+
+@query(f"""WITH g AS (SELECT DISTINCT unnest({S.grams('w', 8)}) AS gram FROM (SELECT {S.LOWER} AS w FROM benchmark)),
+    d AS (SELECT doc_id, unnest({S.grams('w', 8)}) AS gram FROM (SELECT doc_id, {S.LOWER} AS w FROM documents)) SELECT DISTINCT doc_id FROM d SEMI JOIN g USING (gram)""")
+def decontaminate_ngrams(spark, sf):
+    return dedup.contaminated(docs(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"), "doc_id")
+
+
+def _rewritten() -> str:
+    out = "text"
+    for old, new in rewrite.RULES.items():
+        out = f"(CASE WHEN ('0x' || substr(md5(doc_id || '|{old}'), 1, 6))::BIGINT::DOUBLE / 16777216.0 < 0.5 THEN regexp_replace({out}, '(^|[ \\n]){old}($|[ \\n])', '\\1{new}\\2', 'gi') ELSE {out} END)"
+    return out
+
+
+@query(f"SELECT doc_id, {_rewritten()} AS text FROM documents")
+def rewrite_terms(spark, sf):
+    return docs(spark, sf).select("doc_id", rewrite.replace_terms(F.col("text"), "doc_id").alias("text"))
+
+
+@query()
+def rewrite_complex(spark, sf):
+    return docs(spark, sf).select("doc_id", rewrite.complexified(F.col("text"), "doc_id").alias("text"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
+def strip_html(spark, sf):
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    return p.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "\\s+", " ")).alias("text"))
+
+
+@query("SELECT least(greatest(floor(n_chars / 500.0)::BIGINT + 1, 0), 11)::BIGINT AS bin, count(*) AS n FROM documents GROUP BY ALL")
+def length_histogram(spark, sf):
+    return stats.histogram(docs(spark, sf), "n_chars", 0.0, 5000.0, 10)
+
+
+@query("SELECT doc_id FROM documents ORDER BY sha256('42|' || doc_id), doc_id LIMIT 100")
+def random_sample(spark, sf):
+    return splits.sample(docs(spark, sf), "doc_id", 100).select("doc_id")
+
+
+@query()
+def detect_language(spark, sf):
+    return docs(spark, sf).select("doc_id", providers.detect_language("text").alias("lang"))
+
+
+@query()
+def tfidf_logreg_scores(spark, sf):
+    train = labelled(spark, sf).select("doc_id", "text", F.col("quality").alias("label"))
+    return classify.score(classify.fit(train), docs(spark, sf).select("doc_id", "text")).select("doc_id", r6(F.col("p_plain")).alias("p_plain"))
