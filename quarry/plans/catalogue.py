@@ -47,7 +47,7 @@ def triples(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.join(b.withColumnRenamed("text", "ref"), "item_id").withColumns({"s": M.tokens("source"), "p": M.tokens("pred"), "r": M.tokens("ref")})
 
 
-STEPS = {"fre_ok": F.col("fre") >= 55, "fkg_ok": F.col("fkg") <= 10, "length_ok": F.col("n_words").between(150, 250), "plain_ok": F.col("confidence") >= 0.5}
+STEPS = {"fre_ok": "fre >= 55", "fkg_ok": "fkg <= 10", "length_ok": "n_words BETWEEN 150 AND 250", "plain_ok": "confidence >= 0.5"}
 K = ("conv_id", "turn")
 r6 = lambda c: F.round(c, 6)
 
@@ -56,7 +56,7 @@ r6 = lambda c: F.round(c, 6)
     count(*) FILTER (fre >= 55 AND fkg <= 10 AND n_words BETWEEN 150 AND 250) AS length_ok,
     count(*) FILTER (fre >= 55 AND fkg <= 10 AND n_words BETWEEN 150 AND 250 AND confidence >= 0.5) AS plain_ok FROM judged GROUP BY source""")
 def flagship_funnel(spark, sf):
-    return filters.funnel(L.classified(docs(spark, sf)), STEPS, ["source"])
+    return filters.funnel(L.classified(docs(spark, sf)), {k: F.expr(v) for k, v in STEPS.items()}, ["source"])
 
 
 @query(f"SELECT doc_id, len({S.WORDS})::BIGINT AS n_words FROM documents")

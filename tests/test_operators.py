@@ -69,16 +69,16 @@ def test_tree(spark, tmp_path):
     got = readers.read_tree(spark, str(tmp_path)).cache()
     assert {r.doc_id for r in got.collect()} == {"trials_a#p1", "trials_b#r0", "trials_c#l0", "trials_d#o0"}
     assert {(r.split, r.label, r.source_dataset) for r in got.collect()} == {("train", "pls", "trials")}
-    assert {r.doc_id for r in got.filter("has_pair").collect()} == {"trials_a#p1", "trials_c#l0"}
+    assert {r.doc_id for r in got.filter("has_pair").collect()} == {"trials_a#p1", "trials_b#r0", "trials_c#l0"}
     once = writers.curated(got)
-    assert once.count() == 3
+    assert once.count() == 4
     writers.write_splits(once, str(tmp_path / "out"))
     writers.write_csv(once, str(tmp_path / "csv"), ["doc_id", "nothing", "label"])
     assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == ["doc_id", "label"]
-    assert writers.statistics(once).first().records == 3
+    assert writers.statistics(once).first().records == 4
     for _ in range(2):
         writers.append_new(once.select("doc_id", "texto_original"), str(tmp_path / "app"), "doc_id")
-    assert spark.read.parquet(str(tmp_path / "app")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "app")).count() == 4
 
 
 def test_path_facts(spark):
@@ -104,7 +104,6 @@ def test_providers(spark):
     limit = providers.RateLimit(1, 60, clock, waits.append)
     limit.take()
     limit.take()
-    limit.take()
     assert waits[-1] == 50
 
 
