@@ -9,8 +9,8 @@ rank. Distinct pre-tokens of a chunk are encoded once.
 from __future__ import annotations
 
 import struct
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,10 +72,11 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.start = np.cumsum(self.size) - self.size
-        self.memo = Memo()
+        self.memo = Memo(300_000)
 
-    def _pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        return self.model.encode([p.decode("latin-1").translate(self.letters) for p in pieces], num_threads=1)
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as the bytes of 32-bit numbers, which take far less memory than lists."""
+        return [array("i", ids).tobytes() for ids in self.model.encode([p.decode("latin-1").translate(self.letters) for p in pieces], num_threads=1)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and offsets by text."""
@@ -83,8 +84,8 @@ class Codec:
         if not len(inverse):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         lists = self.memo.get(hashes, pieces, self._pieces)
-        size = np.fromiter((len(x) for x in lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
+        size = np.fromiter((len(x) // 4 for x in lists), np.int64, len(lists))
+        flat = np.frombuffer(b"".join(lists), np.int32)
         sums = np.concatenate(([0], np.cumsum(size[inverse])))
         return flat[ragged((np.cumsum(size) - size)[inverse], size[inverse])], sums[offsets]
 
@@ -127,7 +128,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "to
         null = batch.column(batch.schema.get_field_index(text_col)).is_null().to_numpy(zero_copy_only=False)
         texts, tool = texts_of(batch, text_col), codec(path)
         parts, counts, same = [], [np.zeros(1, np.int64)], []
-        for a, b in chunks(_lengths(texts)):
+        for a, b in chunks(_lengths(texts), 1 << 18):
             ids, offsets = tool.encode(texts[a:b])
             parts.append(ids)
             counts.append(np.diff(offsets))

@@ -1,0 +1,181 @@
+"""The ten operators on small tables: brute force, round trips, edge cases."""
+
+import base64
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import bpe, html, mixing, pii, quality, simhash, suffix_dedup, token_counts, warc, webp
+from quarry.llm.induced import suffixes
+from quarry.llm.text import shingles, words
+
+SF = "/root/testdata/sf0.001"
+KIND = "doc_id long, text string, lang string, source string, n_chars long, h string, copy string, score string"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, None, "h", "c", "s") for i, t, s in rows], KIND)
+
+
+EDGES = [(1, None, "a"), (2, "", "a"), (None, "some text here", None), (3, "one", ""), (3, "one", ""), (4, "word " * 40_000, "a")]
+
+
+@pytest.mark.parametrize("operator", [
+    lambda d: mixing.mix_sources(d), lambda d: token_counts.count_tokens(d), lambda d: bpe.encode_documents(d), lambda d: pii.redact(d, spans_col="h"),
+    lambda d: simhash.drop_near_duplicates(d), lambda d: suffix_dedup.repeated_passages(d), lambda d: html.extract(d, "text"), lambda d: warc.pack(d, "doc_id", "source", "text"),
+])
+def test_edges(spark, operator):
+    operator(table(spark, EDGES)).collect()
+    assert operator(table(spark, [])).collect() == []
+
+
+def test_quality_edges(spark):
+    labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (4, None)], "doc_id long, quality int")
+    kept = quality.quality_filter(table(spark, EDGES), labels)
+    assert kept.columns == table(spark, []).columns and kept.filter("text IS NULL OR text = ''").isEmpty()
+    assert quality.quality_filter(table(spark, []), labels.limit(0)).isEmpty()
+
+
+def test_mixing_meets_targets(spark):
+    df = table(spark, [(k, f"t{k}", "abc"[min(2, k % 5)]) for k in range(500)] + [(None, None, None)] * 3)
+    got = mixing.mix_sources(df, {"a": 3.0, "b": 0.0}, 1.0, 600, copy_col="copy")
+    n = {r.source: r.n for r in got.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert "b" not in n and abs(n["a"] - 360) <= 1 and abs(n["c"] - 120) <= 1 and abs(n[None] - 120) <= 1
+    each = got.groupBy("doc_id", "source").agg(F.max("copy").alias("m")).filter("source = 'a'").select("m").distinct().collect()
+    assert {r.m for r in each} <= {3, 4}
+    with pytest.raises(ValueError):
+        mixing.mix_sources(df, {"a": -1.0})
+
+
+def test_webp_round_trips():
+    rng = random.Random(7)
+    tools = ["palette", "predictor", "cross", "green", "references", "cache", "groups"]
+    for w, h in ((1, 1), (7, 3), (19, 11)):
+        for colours in (1, 2, 5, 17, 1 << 20):
+            pool = [rng.getrandbits(32) for _ in range(min(colours, 400))]
+            pixels = [rng.choice(pool) for _ in range(w * h)]
+            for _ in range(12):
+                chosen = tuple(t for t in tools if rng.random() < 0.5)
+                assert webp.decode(webp.encode(pixels, w, chosen)) == (w, h, pixels)
+
+
+def test_webp_of_others_and_broken(spark):
+    known = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")  # a widespread one-pixel test image
+    assert webp.decode(known)[:2] == (1, 1)
+    df = spark.createDataFrame([(bytearray(known),), (None,), (bytearray(),), (bytearray(known[:28]),), (bytearray(b"x"),)], "image binary")
+    got = webp.decode_images(df).collect()
+    assert [r.width for r in got] == [1, None, None, None, None] and got[1].error is None and got[3].error and got[4].error
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a/\r\nx", "<p>é</p>" * 3000), (2, None, None), (None, "u", ""), (3, "u", "b"), (3, "u", "b")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.unpack(warc.pack(df, bundle_bytes=8000, frame_bytes=512))
+    want = [(str(i) if i else None, u and u.replace("\r", "%0D").replace("\n", "%0A"), h) for i, u, h in rows]
+    assert sorted(((r.record_id, r.url, r.payload) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_simhash_against_brute_force(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = df.select("doc_id", "text").orderBy("doc_id").collect()
+    h, o, _, _ = words([r.text for r in rows])
+    runs, at = shingles(h, o, 3)
+    sets = [set(runs[a:b].tolist()) for a, b in zip(at, at[1:], strict=False)]
+    true = [(rows[i].doc_id, rows[j].doc_id) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])]
+    got = {r.id: r.kept_id for r in simhash.duplicate_rows(df).collect()}
+    hit = sum(a in got and got.get(a) == got.get(b) for a, b in true)
+    assert true and hit >= 0.9 * len(true)
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns and kept.count() == df.count() - sum(k != v for k, v in got.items())
+
+
+def test_simhash_shards_and_repeats(spark):
+    base = [" ".join(random.Random(k).choices("alpha beta gamma delta eps zeta eta theta iota kappa".split(), k=60)) for k in range(30)]
+    rows = [(k, t, "s") for k, t in enumerate(base)] + [(100 + k, t + " end", "s") for k, t in enumerate(base)] + [(0, base[0], "s")]
+    kept = simhash.drop_near_duplicates(table(spark, rows), shard_rows=10)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
+
+
+def test_pii():
+    text = "Card 4845168114407329, not 9807915762804490; mail a.b@c.example.com, IBAN DE89370400440532013000, bad DE88370400440532013000, ip 10.1.2.3."
+    found = {(k, text[a:b]) for k, a, b, _ in pii.find_spans(text)}
+    assert {("card", "4845168114407329"), ("email", "a.b@c.example.com"), ("iban", "DE89370400440532013000"), ("ip", "10.1.2.3")} <= found
+    assert not any("9807915762804490" in s or "DE88" in s for _, s in found)
+    assert pii.find_spans("GNU General Public License, version 3. Licensed under CC BY-NC 4.0.") == []
+
+
+def test_tokens_against_the_library():
+    import public_tokenizers as P
+    import tiktoken
+
+    path = bpe.tokenizer_file(bpe.VOCABULARY)
+    ranks = {t: k for k, t in enumerate(token_counts.read_ranks(path))}
+    exact = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    bits = ["'s", "'", "'ll", "x", " ", "  ", "\n", "\t", "é", "漢字", "12", "!?", "🙂", "don't", "\r\n", "ſ", " '"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(800)] + ["a" * 3000, "ab" * 200, "", "<|endoftext|>"]
+    want = [exact.encode_ordinary(t) for t in texts]
+    assert token_counts.count_texts(texts, path).tolist() == [len(w) for w in want]
+    tool = bpe.codec(path)
+    ids, at = tool.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
+    assert tool.decode(ids, at) == [t.encode() for t in texts]
+
+
+def test_decode_rows(spark):
+    df = spark.createDataFrame([([1, 2],), ([],), (None,), ([99_999_999],), ([1, None],)], "token_ids array<int>")
+    assert [r.decoded for r in bpe.decode_documents(df).collect()] == ['"#', "", None, None, None]
+
+
+def test_html():
+    body = "<p>" + "Long enough text of an article. " * 6 + "</p>"
+    page = "<html><head><title>T</title><script>var t='</p>'</script></head><body><ul>" + "<li><a href='#'>nav</a></li>" * 8 + "</ul>" + body * 5 + "<div><a>x</a><a>y</a></div></body></html>"
+    got = html.content(page)
+    assert got.count("Long enough") == 30 and "nav" not in got and "var" not in got
+    r = np.random.default_rng(1).random(9)
+    k = html.kernel(1.0)
+    brute = [sum(k[j + 2] * r[i + j] for j in range(-2, 3) if 0 <= i + j < 9) / sum(k[j + 2] for j in range(-2, 3) if 0 <= i + j < 9) for i in range(9)]
+    assert np.allclose(html.smoothed(r, 1.0), brute)
+
+
+def test_trees_hold_out_and_direction():
+    rng = np.random.default_rng(2)
+    x = rng.random((3000, 3)).astype(np.float32)
+    y = (x[:, 0] + 0.2 * rng.standard_normal(3000) < 0.5).astype(float)
+    f = quality.grow(x[:2000], y[:2000], [-1, 0, 0])
+    assert ((f.scores(x[2000:]) > 0.5) == (y[2000:] > 0)).mean() > 0.85
+    line = np.full((200, 3), 0.5, np.float32)
+    line[:, 0] = np.linspace(0, 1, 200)
+    assert (np.diff(f.scores(line)) <= 1e-12).all()
+
+
+@pytest.mark.parametrize("memory", [4, 1000])
+def test_suffixes_against_brute_force(tmp_path, memory):
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        t = np.append(rng.integers(1, rng.integers(2, 6), rng.integers(1, 50)), 0)
+        x = t.tolist()
+        order = sorted(range(len(x)), key=lambda i, x=x: x[i:])
+        got, common = suffixes(t, tmp_path, memory)
+        assert got.tolist() == order
+        for k in range(1, len(x)):
+            a, b = x[order[k - 1] :], x[order[k] :]
+            assert common[k] == next(i for i in range(len(x)) if i >= len(a) or i >= len(b) or a[i] != b[i])
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(5)
+    pool = [f"w{k}" for k in range(400)]
+    shared = rng.choices(pool, k=70)
+    rows = [(k, " ".join(rng.choices(pool, k=80) + (shared if k % 3 == 0 else []) + rng.choices(pool, k=20)), "s") for k in range(12)] + [(50, "a b c " * 60, "s")]
+    got = set()
+    for r in suffix_dedup.repeated_passages(table(spark, rows), shard_words=300, memory=50).collect():
+        got.update((r.id, r.again, k) for k in range(r.first_word, r.last_word))
+    seen: dict = {}
+    for i, t, _ in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            seen.setdefault(tuple(w[k : k + 50]), []).append((i, k))
+    assert got == {(i, n > 0, k + j) for at in seen.values() if len(at) > 1 for n, (i, k) in enumerate(sorted(at)) for j in range(50)}
