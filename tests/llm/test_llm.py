@@ -143,9 +143,9 @@ def test_html():
 def test_trees_hold_out_and_direction():
     rng = np.random.default_rng(2)
     x = rng.random((3000, 3)).astype(np.float32)
-    y = (x[:, 0] + 0.2 * rng.standard_normal(3000) < 0.5).astype(float)
+    y = (x[:, 0] + 0.05 * rng.standard_normal(3000) < 0.5).astype(float)
     f = quality.grow(x[:2000], y[:2000], [-1, 0, 0])
-    assert ((f.scores(x[2000:]) > 0.5) == (y[2000:] > 0)).mean() > 0.85
+    assert ((f.scores(x[2000:]) > 0.5) == (y[2000:] > 0)).mean() > 0.9
     line = np.full((200, 3), 0.5, np.float32)
     line[:, 0] = np.linspace(0, 1, 200)
     assert (np.diff(f.scores(line)) <= 1e-12).all()
