@@ -6,7 +6,8 @@ order of the signature turned left by 4t bits, and links each to the next ones o
 near node is a few links away on the rings in which its differing bits come late, and each
 ring leads to other regions. Every block of queries is sent to every shard, enters each
 ring at its own place, and looks along a beam to both sides. Each task audits the recall of
-a sample of its queries against exact search and doubles the beam until the target is met.
+a sample of its queries, by query and by group, against exact search and doubles the beam
+until the target is met.
 
 All pairs within the radius are candidates. Two edge-disjoint minimum spanning forests of
 them are verified first, by the exact Jaccard similarity of runs of three words; then all
@@ -22,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import column, removed, spare, table, texts_of, written
-from quarry.llm.components import components, forest, labels_of
+from quarry.llm.components import components, forest
 from quarry.llm.text import U64, chunks, mix, shingles, words
 
 #: Production parameters: Jaccard similarity, bits that may differ, nodes of a shard.
 SIMILARITY, RADIUS, SHARD = 0.6, 72, 1 << 21
 RINGS, BEAM, AUDITED, RECALL = 64, 8, 512, 0.95
+#: Direct links that tie a query to a large group, audited queries with partners wanted, and blocks of AUDITED to find them in.
+ENOUGH_LINKS, QUERIES_SEEN, MOST_BLOCKS = 16, 256, 16
 #: Keys are broadcast up to this number of rows (some 50 bytes each), shuffled beyond it.
 BROADCAST_ROWS = 500_000
 _SIGNS = (((np.arange(256)[:, None] >> np.arange(8)) & 1) * 2 - 1).astype(np.float32)
@@ -136,23 +139,53 @@ def exact_pairs(graph: np.ndarray, queries: np.ndarray, chosen: np.ndarray, radi
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
+def _shares(truth: np.ndarray, pairs: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query with partners: their number, and the share met directly (ENOUGH_LINKS of them count as all)."""
+    partners = np.bincount(truth[:, 1], minlength=many)
+    met = np.bincount(truth[np.isin(truth @ (many, 1), pairs @ (many, 1)), 1], minlength=many)
+    asked = np.flatnonzero(partners)
+    return partners[asked], np.minimum(1.0, met[asked] / np.minimum(partners[asked], ENOUGH_LINKS))
+
+
 def search(graph: np.ndarray, queries: np.ndarray | None, radius: int = RADIUS, beam: int = BEAM, audited: int = AUDITED, recall: float = RECALL) -> tuple[np.ndarray, float, int]:
     """Pairs found, recall audited, and the beam that it took.
 
-    A pair of the audit counts as found if the pairs found link its two ends.
+    Queries are audited in random order until QUERIES_SEEN with few partners are seen. Only
+    pairs met directly count, not chains, which verification may cut. The recall is the
+    lesser of its means by query and by group (queries weighted by one over their partners),
+    so that no hot group outvotes the others. Where few queries have partners, probes count
+    too: copies of nodes with between half the radius and the radius of their bits turned.
     """
     asked = graph if queries is None else queries
-    chosen = np.unique(np.linspace(0, len(asked) - 1, min(audited, len(asked))).astype(np.int64)) if len(asked) else np.zeros(0, np.int64)
-    truth = exact_pairs(graph, asked, chosen, radius)
-    if queries is None:
-        truth = truth[truth[:, 0] != truth[:, 1]]
-    shift = 0 if queries is None else len(graph)
+    if not len(graph) or not len(asked):
+        return np.zeros((0, 2), np.int64), 1.0, beam
+    rng = np.random.default_rng(len(asked))
+    shuffled = rng.permutation(len(asked))
+    truths, seen, at = [], 0, 0
+    while at < len(asked) and seen < QUERIES_SEEN and at < audited * MOST_BLOCKS:
+        chosen = shuffled[at : at + audited]
+        part = exact_pairs(graph, asked, chosen, radius)
+        if queries is None:
+            part = part[part[:, 0] != part[:, 1]]
+        partners = np.bincount(part[:, 1], minlength=1)
+        seen += int(((partners > 0) & (partners <= ENOUGH_LINKS)).sum())
+        truths.append(part)
+        at += len(chosen)
+    truth = np.concatenate(truths)
+    sample, own = np.unique(truth[:, 1], return_inverse=True)
+    truth = np.stack([truth[:, 0], own], axis=1)
+    probes = np.zeros((0, 4), U64)
+    if seen < QUERIES_SEEN and at < len(asked):
+        base = rng.integers(0, len(graph), QUERIES_SEEN - seen)
+        turned = np.argsort(rng.random((len(base), 256)), axis=1).argsort(axis=1) < rng.integers(radius // 2, radius + 1, len(base))[:, None]
+        probes = graph[base] ^ np.packbits(turned, axis=1).view(U64)
+        truth = np.concatenate([truth, np.stack([base, len(sample) + np.arange(len(base))], axis=1)])
+    trial = np.concatenate([asked[sample], probes])
     while True:
-        pairs = ring_pairs(graph, queries, radius, beam)
-        label = labels_of(len(graph) + (shift and len(asked)), pairs[:, 0], pairs[:, 1] + shift)
-        got = (label[truth[:, 0]] == label[truth[:, 1] + shift]).mean() if len(truth) else 1.0
+        partners, share = _shares(truth, ring_pairs(graph, trial, radius, beam), max(1, len(trial)))
+        got = min(share.mean(), np.average(share, weights=1 / partners)) if len(share) else 1.0
         if got >= recall or beam >= len(graph):
-            return pairs, float(got), beam
+            return ring_pairs(graph, queries, radius, beam), float(got), beam
         beam *= 2
 
 

@@ -98,6 +98,29 @@ def test_simhash_shards_and_repeats(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
 
 
+def test_search_beside_a_hot_group():
+    rng = np.random.default_rng(6)
+
+    def near(nodes, bits):
+        turned = rng.random((len(nodes), 256)).argsort(axis=1).argsort(axis=1) < bits[:, None]
+        return nodes ^ np.packbits(turned, axis=1).view(np.uint64)
+
+    def nodes(n):
+        return rng.integers(0, 1 << 64, (n, 4), np.uint64)
+
+    hot, base = near(np.repeat(nodes(1), 1500, axis=0), rng.integers(5, 30, 1500)), nodes(400)
+    graph = np.concatenate([hot, nodes(12_000), base, near(base, rng.integers(45, 66, 400))])
+    for queries in (None, graph[-400:]):
+        held = graph if queries is None else graph[:-400]
+        pairs, audited, beam = simhash.search(held, queries, beam=1)
+        met = {(min(a, b), max(a, b)) for a, b in (pairs + [0, 0 if queries is None else len(held)]).tolist()}
+        first = len(graph) - 800
+        share = np.mean([(first + k, first + 400 + k) in met for k in range(400)])
+        assert share >= 0.9 and audited >= simhash.RECALL and beam > 1
+    # No natural partners in the sample: probes set the beam.
+    assert simhash.search(nodes(20_000), None, beam=1)[2] > 1
+
+
 def test_pii():
     text = "Card 4845168114407329, not 9807915762804490; mail a.b@c.example.com, IBAN DE89370400440532013000, bad DE88370400440532013000, ip 10.1.2.3."
     found = {(k, text[a:b]) for k, a, b, _ in pii.find_spans(text)}
