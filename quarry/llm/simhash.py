@@ -1,6 +1,6 @@
 """SimHash near-duplicates by navigable small-world graphs over Hamming distance.
 
-Signatures of 256 bits summarise runs of two words. Texts with the same words are one node.
+Signatures of 256 bits summarise the distinct runs of two words. Texts with the same words are one node.
 Nodes are dealt to shards. A shard's graph is made of rings: ring t holds all nodes in the
 order of the signature turned left by 4t bits, and links each to the next ones on it; a
 near node is a few links away on the rings in which its differing bits come late, and each
@@ -13,6 +13,10 @@ All pairs within the radius are candidates. Two edge-disjoint minimum spanning f
 them are verified first, by the exact Jaccard similarity of runs of three words; then all
 other candidates that would join different verified groups. So every candidate is verified
 or lies within a verified group. Verified edges are united.
+
+At last the groups are audited: a sample of nodes is compared exactly with all texts, and if
+too few of the similar ones are in the same group, all is done again with a wider radius
+or beam.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ SIMILARITY, RADIUS, SHARD = 0.6, 72, 1 << 21
 RINGS, BEAM, AUDITED, RECALL = 64, 8, 512, 0.95
 #: Direct links that tie a query to a large group, audited queries with partners wanted, and blocks of AUDITED to find them in.
 ENOUGH_LINKS, QUERIES_SEEN, MOST_BLOCKS = 16, 256, 16
+#: Nodes of a slice compared exactly with all texts, those with partners wanted, slices at most, and the widest radius.
+SLICE, PARTNERED, SLICES, WIDEST = 4096, 64, 4, 96
 #: Keys are broadcast up to this number of rows (some 50 bytes each), shuffled beyond it.
 BROADCAST_ROWS = 500_000
 _SIGNS = (((np.arange(256)[:, None] >> np.arange(8)) & 1) * 2 - 1).astype(np.float32)
@@ -38,11 +44,15 @@ _SIGNATURE = ["s0", "s1", "s2", "s3"]
 
 
 def signatures(runs: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """256-bit SimHash of each text's runs as four words; votes are counted by byte values."""
+    """256-bit SimHash of each text's distinct runs as four words; votes are counted by byte values."""
     n = len(offsets) - 1
     out = np.zeros((n, 32), np.uint8)
-    owner = np.repeat(np.arange(n) * 256, np.diff(offsets))
-    x = runs
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    order = np.lexsort((runs, owner))
+    owner, x = owner[order], runs[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (owner[1:] != owner[:-1])
+    owner, x = owner[new] * 256, x[new]
     for word in range(4):
         x = mix(x + U64(0x9E3779B97F4A7C15)) if word else x
         values = x.view(np.uint8).reshape(-1, 8)
@@ -189,7 +199,7 @@ def search(graph: np.ndarray, queries: np.ndarray | None, radius: int = RADIUS,
         beam *= 2
 
 
-def _candidates(nodes: DataFrame, count: int, radius: int, shard_rows: int) -> DataFrame:
+def _candidates(nodes: DataFrame, count: int, radius: int, shard_rows: int, beam: int = BEAM) -> DataFrame:
     """Pairs of nodes within the radius: (a, b, part), part 1 or 2: in that spanning forest of its task, 0: in neither."""
     shards = max(1, -(-count // shard_rows))
     # Shard i's nodes go to the tasks (i, j) and (j, i), i <= j: queries of i against the graph of j.
@@ -204,10 +214,10 @@ def _candidates(nodes: DataFrame, count: int, radius: int, shard_rows: int) -> D
         mark = np.stack([group[s].to_numpy() for s in _SIGNATURE], axis=1).view(np.uint64)
         low, high = divmod(task, shards)
         if low == high:
-            pairs, _, _ = search(mark, None, radius)
+            pairs, _, _ = search(mark, None, radius, beam)
         else:
             asks, holds = np.flatnonzero(shard == low), np.flatnonzero(shard == high)
-            pairs, _, _ = search(mark[holds], mark[asks], radius)
+            pairs, _, _ = search(mark[holds], mark[asks], radius, beam)
             pairs = np.stack([holds[pairs[:, 0]], asks[pairs[:, 1]]], axis=1)
         a, b = pairs[:, 0], pairs[:, 1]
         part = np.zeros(len(a), np.int32)
@@ -256,6 +266,101 @@ def _verified(pairs: DataFrame, keyed: DataFrame, summaries: DataFrame, similari
     return out
 
 
+def _similar(texts: DataFrame, sample: pa.Table, similarity: float) -> DataFrame:
+    """All pairs (a, b) of a node of the sample and another node of ``texts`` that are similar enough.
+
+    sample: n0, n1, runs. A similar text has at least one of a node's rarest runs, as many of
+    them as may be left out and one more; the texts that have one are compared exactly.
+    """
+    name = np.stack([sample["n0"].to_numpy(), sample["n1"].to_numpy()], axis=1)
+    column_of = sample["runs"].combine_chunks()
+    flat, ends = column_of.flatten().to_numpy().view(np.uint32), np.concatenate(([0], np.cumsum(column_of.value_lengths().to_numpy())))
+    sets = [flat[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+    _, place, often = np.unique(flat, return_inverse=True, return_counts=True)
+    often = often[place]
+    rare = [x + np.argsort(often[x:y], kind="stable")[: y - x - int(np.ceil(similarity * (y - x) - 1e-9)) + 1] for x, y in zip(ends, ends[1:], strict=False)]
+    who = np.repeat(np.arange(len(sets)), [len(r) for r in rare])
+    run_of = flat[np.concatenate(rare)]
+    order = np.argsort(run_of, kind="stable")
+    who, run_of = who[order], run_of[order]
+
+    def run(batches):
+        for batch in batches:
+            rows = texts_of(batch, "text")
+            for a, b in chunks(np.fromiter((len(t) for t in rows), np.int64, len(rows)), 1 << 20):
+                hashes, offsets, _, _ = words(rows[a:b])
+                node = identities(hashes, offsets)
+                runs, starts = shingles(hashes, offsets, 3)
+                runs = (runs >> U64(32)).astype(np.uint32)
+                low = np.searchsorted(run_of, runs)
+                many = np.searchsorted(run_of, runs, "right") - low
+                owner = np.repeat(np.repeat(np.arange(b - a), np.diff(starts)), many)
+                at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+                hits, now, mine = [], -1, None
+                for pair in np.unique(owner * len(sets) + who[at]).tolist():
+                    k, q = divmod(pair, len(sets))
+                    if k != now:
+                        now, mine = k, np.unique(runs[starts[k] : starts[k + 1]])
+                    x, y = len(sets[q]), len(mine)
+                    if min(x, y) >= similarity * max(x, y) - 1e-9:
+                        shared = len(np.intersect1d(sets[q], mine, assume_unique=True))
+                        if shared >= similarity * (x + y - shared):
+                            hits.append((q, k))
+                if hits:
+                    q, k = np.array(hits).T
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in name[q].T), *(_signed(x) for x in node[k].T)], names=["a0", "a1", "b0", "b1"])
+
+    made = texts.select("text").mapInArrow(run, "a0 bigint, a1 bigint, b0 bigint, b1 bigint").filter("a0 != b0 OR a1 != b1").distinct()
+    return made.select(F.struct(F.col("a0").alias("n0"), F.col("a1").alias("n1")).alias("a"), F.struct(F.col("b0").alias("n0"), F.col("b1").alias("n1")).alias("b"))
+
+
+def _truth(keyed: DataFrame, summaries: DataFrame, nodes: DataFrame, count: int, similarity: float) -> DataFrame | None:
+    """Similar pairs (a, b) of sampled nodes, slice by slice until enough nodes have partners."""
+    slices, seen, out = max(1, -(-count // SLICE)), 0, None
+    for k in range(min(slices, SLICES)):
+        chosen = nodes.filter(F.pmod(F.xxhash64("n1", "n0"), F.lit(slices)) == k).select("n0", "n1")
+        keys = summaries.join(F.broadcast(chosen), ["n0", "n1"], "left_semi").groupBy("n0", "n1").agg(F.min("key").alias("key")).select("key")
+        sample = _runs(keyed.join(F.broadcast(keys), "key", "left_semi")).select("node.n0", "node.n1", "runs").toArrow()
+        if not sample.num_rows:
+            continue
+        pairs = written(_similar(keyed, sample, similarity), "truth")
+        seen += pairs.select("a").distinct().count()
+        out = pairs if out is None else out.union(pairs)
+        if seen >= PARTNERED:
+            break
+    return out
+
+
+def _linked(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs with the roots of their ends."""
+    for end in ("a", "b"):
+        pairs = pairs.join(groups.toDF(end, f"{end}_root"), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    return pairs
+
+
+def audited_recall(truth: DataFrame, groups: DataFrame) -> float:
+    """The lesser of the means by node and by group of the shares of partners that are in a node's group."""
+    rows = _linked(truth, groups).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("a_root") == F.col("b_root")).cast("double")).alias("share")).select("n", "share").collect()
+    share = np.array([r.share for r in rows])
+    return min(share.mean(), np.average(share, weights=[1 / r.n for r in rows])) if rows else 1.0
+
+
+def _groups(nodes: DataFrame, count: int, keyed: DataFrame, summaries: DataFrame, similarity: float, radius: int, shard_rows: int, beam: int) -> DataFrame:
+    """(node, root) of the groups that verified candidates make."""
+    pairs = written(_candidates(nodes, count, radius, shard_rows, beam), "candidates")
+    first = _verified(pairs.filter("part > 0").select("a", "b"), keyed, summaries, similarity)
+    groups = components(first)
+    # Candidates outside the forests whose ends the verified edges don't link.
+    rest = written(_linked(pairs.filter("part = 0"), groups).filter("a_root != b_root").select("a", "b"), "rest")
+    if not rest.isEmpty():
+        more = _verified(rest, keyed, summaries, similarity)
+        if not more.isEmpty():
+            groups = components(first.union(more))
+    removed(pairs)
+    removed(rest)
+    return groups
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ident = column(docs, id_col)
     key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(ident.cast("string"), F.lit("null")), F.coalesce(column(docs, text_col), F.lit("")))))
@@ -272,19 +377,22 @@ def duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     summaries = written(_summaries(keyed), "summaries")
     counted = summaries.groupBy("n0", "n1").agg(*[F.first(s).alias(s) for s in _SIGNATURE])
     nodes = written(counted, "nodes")
-    pairs = written(_candidates(nodes, nodes.count(), radius, shard_rows), "candidates")
-    first = _verified(pairs.filter("part > 0").select("a", "b"), keyed, summaries, similarity)
-    groups = components(first)
-
-    # Candidates outside the forests whose ends the verified edges don't link.
-    def root(df: DataFrame, end: str) -> DataFrame:
-        return df.join(groups.toDF(end, f"{end}_root"), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
-
-    rest = written(root(root(pairs.filter("part = 0"), "a"), "b").filter("a_root != b_root").select("a", "b"), "rest")
-    if not rest.isEmpty():
-        more = _verified(rest, keyed, summaries, similarity)
-        if not more.isEmpty():
-            groups = components(first.union(more))
+    count, beam = nodes.count(), BEAM
+    truth = _truth(keyed, summaries, nodes, count, similarity)
+    while True:
+        groups = _groups(nodes, count, keyed, summaries, similarity, radius, shard_rows, beam)
+        if truth is None or audited_recall(truth, groups) >= RECALL or (beam >= count and radius >= WIDEST):
+            break
+        # Widen what most of the lost pairs call for.
+        lost = _linked(truth, groups).filter("a_root != b_root").select("a", "b").limit(4096)
+        for end in ("a", "b"):
+            lost = lost.join(nodes.select(F.struct("n0", "n1").alias(end), *[F.col(s).alias(end + s) for s in _SIGNATURE]), end)
+        marks = np.array(lost.select(*["a" + s for s in _SIGNATURE], *["b" + s for s in _SIGNATURE]).collect(), np.int64).reshape(-1, 8).view(U64)
+        far = _distance(marks[:, :4], marks[:, 4:])
+        if radius < WIDEST and ((far > radius).mean() >= 0.5 or beam >= count):
+            radius = min(WIDEST, radius + 8)
+        else:
+            beam *= 2
     node = F.struct("n0", "n1")
     ids = keyed.select("key", "id")
     rows = summaries.select("key", node.alias("node")).groupBy("key", "node").agg(F.count(F.lit(1)).alias("repeats"))

@@ -121,6 +121,21 @@ def test_search_beside_a_hot_group():
     assert simhash.search(nodes(20_000), None, beam=1)[2] > 1
 
 
+def test_simhash_repeated_line_and_exact_audit(spark):
+    pool = [f"w{k}" for k in range(3000)]
+    base = [random.Random(k).choices(pool, k=200) for k in range(20)]
+    line = "all rights reserved by the owners alone ".split() * 60
+    df = table(spark, [(k, " ".join(t), "s") for k, t in enumerate(base)] + [(100 + k, " ".join(t[:100] + line + t[100:]), "s") for k, t in enumerate(base)])
+    got = {r.id: r.kept_id for r in simhash.duplicate_rows(df).collect()}
+    assert got == {k: k % 100 for k in [*range(20), *range(100, 120)]}
+    # The audit's truth is the exact similarity: no group, no recall.
+    keyed = simhash._keyed(df, "doc_id", "text")
+    summaries = simhash._summaries(keyed).cache()
+    truth = simhash._truth(keyed, summaries, summaries, 40, simhash.SIMILARITY)
+    none = spark.createDataFrame([], "node struct<n0:bigint,n1:bigint>, root struct<n0:bigint,n1:bigint>")
+    assert truth.count() == 40 and simhash.audited_recall(truth, none) == 0.0
+
+
 def test_pii():
     text = "Card 4845168114407329, not 9807915762804490; mail a.b@c.example.com, IBAN DE89370400440532013000, bad DE88370400440532013000, ip 10.1.2.3."
     found = {(k, text[a:b]) for k, a, b, _ in pii.find_spans(text)}
