@@ -19,7 +19,13 @@ KINDS = ("email", "iban", "card", "ssn", "ip", "phone", "secret")
 _DOMAIN = re.compile(r"@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _LOCAL = re.compile(r"[\w.%+'-]{1,64}$")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])")
-_CARD = re.compile(r"(?<![\d.,+-])\d(?:[ -]?\d){12,18}(?![\d])")
+_LENGTHS = "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+#: IBANs by country: whole groups of four, then the rest of its length.
+_IBAN_OF = {c[:2]: re.compile(rf"[A-Za-z]{{2}}\d{{2}}(?: ?[A-Za-z0-9]{{4}}){{{int(c[2:]) // 4 - 1}}}" + (rf" ?[A-Za-z0-9]{{{int(c[2:]) % 4}}}" if int(c[2:]) % 4 else "") + "(?![A-Za-z0-9])") for c in _LENGTHS.split()}
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}")
+_CARD = re.compile(r"(?<![\d+-])(?<!\d\.)\d(?:[ -]?\d){12,18}")
+#: Issuers' first digits, asked of cards that are part of a longer run of digits.
+_ISSUER = re.compile(r"4|5|6|3[04-9]|2[2-7]")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?<!\d)\(?\d{2,4}\)?[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)")
@@ -50,6 +56,44 @@ def mod97(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _ibans(text: str):
+    """IBANs of their country's length, else as far as groups of four go."""
+    reached = 0
+    for start in _IBAN_START.finditer(text):
+        if start.start() < reached:
+            continue
+        of = _IBAN_OF.get(start.group()[:2].upper())
+        tries = [m for m in (of and of.match(text, start.start()), _IBAN.match(text, start.start())) if m]
+        tries = [m for m in tries if 15 <= len(m.group().replace(" ", "")) <= 34]
+        sound = next((m for m in tries if mod97(m.group().replace(" ", ""))), None)
+        if sound:
+            reached = sound.end()
+            yield "iban", sound.start(), sound.end(), 0.9
+        elif tries:
+            yield "iban", tries[-1].start(), tries[-1].end(), 0.1
+
+
+def _cards(text: str):
+    """Cards of 13 to 19 digits, the longest with a sound check digit at each start."""
+    at = tried = 0
+    while m := _CARD.search(text, at):
+        start = m.start()
+        ends = [start + k + 1 for k, c in enumerate(m.group()) if c not in " -"]
+        ends = [e for e in ends[12:] if not text[e : e + 1].isdecimal()][::-1]
+        at = start + 1
+        for end in ends:
+            digits = re.sub(r"\D", "", text[start:end])
+            whole = start >= tried and end == ends[0]
+            if luhn(digits) and len(set(digits)) > 1 and (whole or _ISSUER.match(digits)):
+                at = end
+                yield "card", start, at, 0.7
+                break
+        else:
+            if ends and start >= tried:
+                yield "card", start, ends[0], 0.1
+        tried = max(tried, m.end())
+
+
 def _proposed(text: str):
     """(kind, start, end, score without context)."""
     at = text.find("@")
@@ -59,13 +103,8 @@ def _proposed(text: str):
             if name:
                 yield "email", at - len(name), domain.end(), 0.9
         at = text.find("@", at + 1)
-    for m in _IBAN.finditer(text):
-        bare = m.group().replace(" ", "")
-        if 15 <= len(bare) <= 34:
-            yield "iban", m.start(), m.end(), 0.9 if mod97(bare) else 0.1
-    for m in _CARD.finditer(text):
-        digits = re.sub(r"\D", "", m.group())
-        yield "card", m.start(), m.end(), 0.7 if luhn(digits) and len(set(digits)) > 1 else 0.1
+    yield from _ibans(text)
+    yield from _cards(text)
     for m in _SSN.finditer(text):
         a, b, c = m.group().split("-")
         yield "ssn", m.start(), m.end(), 0.1 if a in ("000", "666") or a[0] == "9" or b == "00" or c == "0000" else 0.6

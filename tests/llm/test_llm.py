@@ -144,6 +144,17 @@ def test_pii():
     assert pii.find_spans("GNU General Public License, version 3. Licensed under CC BY-NC 4.0.") == []
 
 
+def test_pii_numbers_beside_others():
+    for kind, number, text in (
+        ("iban", "ES9121000418450200051332", "to {} from now"), ("iban", "AT611904300234573201", "{} is it"), ("iban", "BE68 5390 0754 7034", "pay {} with care"),
+        ("card", "4111111111111111", "{} 12/27"), ("card", "4111 1111 1111 1111", "{} 123"), ("card", "4111111111111111", "a,{},b"), ("card", "4111111111111111", "no 12 {}"),
+    ):
+        filled = text.format(number)
+        assert any(k == kind and filled[a:b].startswith(number) for k, a, b, _ in pii.find_spans(filled)), filled
+    assert [s[1:3] for s in pii.find_spans("7536784127813050 4845168114407329")] == [(0, 16), (17, 33)]
+    assert pii.find_spans("0.4111111111111111 and ES9121000418450200051333 from now") == []
+
+
 def test_tokens_against_the_library():
     import public_tokenizers as P
     import tiktoken
