@@ -29,7 +29,10 @@ _ISSUER = re.compile(r"4|5|6|3[04-9]|2[2-7]")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?<!\d)\(?\d{2,4}\)?[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:[0-9a-fA-F]{32,128}|(?:sk|pk|ghp|xox[bp]|AKIA)[A-Za-z0-9_-]{16,100})(?![A-Za-z0-9_])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:[0-9a-fA-F]{32,}|(?:sk|pk|ghp|xox[bp]|AKIA)[A-Za-z0-9_-]{16,})(?![A-Za-z0-9_])")
+#: Keys that their prefix alone gives away; after sk and pk, which also begin words, with a digit.
+_PREFIXED = re.compile(r"AKIA[A-Z0-9]{16}|ghp_|xox[bp]-|[sp]k[_-](?=.*\d)")
+_LOCAL_PHONE = re.compile(r"\(?[2-9]\d\d\)?([ .-])\d{3}\1\d{4}")
 _CONTEXT = {
     "email": r"mail|contact|write",
     "iban": r"iban|account|bank|konto|compte|cuenta",
@@ -116,9 +119,9 @@ def _proposed(text: str):
         digits, marks = re.sub(r"\D", "", m.group()), sum(map(m.group().count, "+()"))
         if 9 <= len(digits) <= 15:
             cut = len(re.findall(r"[ .()-]+", m.group()))
-            yield "phone", m.start(), m.end(), 0.7 if m.group()[0] == "+" and cut else 0.55 if marks >= 2 else 0.4 if cut >= 2 else 0.2
+            yield "phone", m.start(), m.end(), 0.7 if m.group()[0] == "+" and cut else 0.55 if marks >= 2 or _LOCAL_PHONE.fullmatch(m.group()) else 0.4 if cut >= 2 else 0.2
     for m in _SECRET.finditer(text):
-        yield "secret", m.start(), m.end(), 0.45
+        yield "secret", m.start(), m.end(), 0.7 if _PREFIXED.match(m.group()) else 0.45
 
 
 def find_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
