@@ -1,6 +1,6 @@
 """Personal data: regular expressions propose spans, validators confirm them, context adjusts scores.
 
-Only texts with a digit or an at sign leave the JVM. Spans of all kinds are scored from 0
+Only texts with a digit of any script, an at sign or a secret's letters leave the JVM. Spans of all kinds are scored from 0
 to 1; those that reach the threshold are kept, the best where they overlap, and replaced.
 """
 
@@ -33,6 +33,8 @@ _SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:[0-9a-fA-F]{32,}|(?:sk|pk|ghp|xox[bp]
 #: Keys that their prefix alone gives away; after sk and pk, which also begin words, with a digit.
 _PREFIXED = re.compile(r"AKIA[A-Z0-9]{16}|ghp_|xox[bp]-|[sp]k[_-](?=.*\d)")
 _LOCAL_PHONE = re.compile(r"\(?[2-9]\d\d\)?([ .-])\d{3}\1\d{4}")
+#: Java pattern of what every match of the patterns above has.
+_ANY = r"[\p{Nd}@]|[a-fA-F]{32}|(?:sk|pk|ghp|xox[bp]|AKIA)[A-Za-z_-]{16}"
 _CONTEXT = {
     "email": r"mail|contact|write",
     "iban": r"iban|account|bank|konto|compte|cuenta",
@@ -179,8 +181,8 @@ def redact(docs: DataFrame, text_col: str = "text", spans_col: str | None = None
     """
     (made,) = spare(docs, "found")
     text = column(docs, text_col)
-    # Null where no pattern can match, so that most texts aren't sent to Python.
-    out = docs.withColumn(made, _finder(threshold)(F.when(text.rlike("[0-9@]"), text)))
+    # Null where no pattern can match, so that such texts aren't sent to Python.
+    out = docs.withColumn(made, _finder(threshold)(F.when(text.rlike(_ANY), text)))
     if only_found:
         out = out.filter(F.size(F.col(made)["spans"]) > 0)
     clean = F.coalesce(F.col(made)["text"], column(out, text_col)).alias(text_col)
