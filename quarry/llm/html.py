@@ -9,6 +9,7 @@ multiple of the smoothed ratios' standard deviation, form the content.
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import numpy as np
@@ -24,17 +25,30 @@ _BLOCKS = frozenset(
     "address article aside blockquote body br button dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe li main nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 _SILENT = frozenset(("script", "style", "noscript", "template", "svg", "head"))
+#: Of these, those that may be left open by mistake: they hide text only if an end tag follows.
+_CLOSED = ("noscript", "template", "svg")
+#: Start tags that may stand in a head; any other ends it, as HTML lets </head> be left out.
+_IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template svg head html".split())
 
 
 class Lines(HTMLParser):
     """Text and number of tags of each line."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
+        self.ends = {tag: [m.start() for m in re.finditer(f"</{tag}", html, re.IGNORECASE)] for tag in _CLOSED}
+        self.starts = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.title = False
         self.text: list[list[str]] = [[]]
         self.tags: list[int] = [0]
         self.hidden: list[str] = []
 
+    def _closes(self, tag: str) -> bool:
+        """Whether an end tag follows this start tag."""
+        line, column = self.getpos()
+        ends = self.ends[tag]
+        return bool(ends) and ends[-1] > self.starts[line - 1] + column
+
     def _next(self) -> None:
         if self.text[-1] or self.tags[-1]:
             self.text.append([])
@@ -44,7 +58,10 @@ class Lines(HTMLParser):
         if tag in _BLOCKS:
             self._next()
         self.tags[-1] += 1
-        if tag in _SILENT:
+        if tag == "body" or (self.hidden in (["head"], ["head", "noscript"]) and tag not in _IN_HEAD):
+            self.hidden.clear()
+        self.title = tag == "title"
+        if tag in _SILENT and (tag not in _CLOSED or self._closes(tag)):
             self.hidden.append(tag)
 
     def handle_startendtag(self, tag, attrs):
@@ -58,11 +75,14 @@ class Lines(HTMLParser):
                 pass
         elif tag == "body":
             self.hidden.clear()
+        self.title = self.title and tag != "title"
         self.tags[-1] += 1
         if tag in _BLOCKS:
             self._next()
 
     def handle_data(self, data):
+        if self.hidden == ["head"] and not self.title and data.strip():
+            self.hidden.clear()
         if self.hidden:
             return
         first, *more = data.split("\n")
@@ -76,7 +96,7 @@ class Lines(HTMLParser):
 
 def lines_of(html: str) -> tuple[list[str], np.ndarray]:
     """Texts of all lines, with white space drawn together, and their numbers of tags."""
-    parser = Lines()
+    parser = Lines(html)
     for at in range(0, len(html), PIECE):
         parser.feed(html[at : at + PIECE])
     parser.close()

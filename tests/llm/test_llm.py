@@ -206,6 +206,18 @@ def test_html():
     assert np.allclose(html.smoothed(r, 1.0), brute)
 
 
+def test_html_with_tags_left_open():
+    body = "<p>" + "Long enough text of an article. " * 6 + "</p>"
+    for start in (
+        "<head><title>Top</title><meta charset='x'><style>p {}</style><body>", "<head><title>Top</title>\n<div>", "<head><title>Top</title>\n<span>a</span>",
+        "<head><title>Top</title></head><body><noscript><img>", "<body><svg><path>", "<body>\n\n<template>", "<head><noscript><style>x</style></noscript>",
+    ):
+        got = " ".join(html.lines_of("<html>" + start + body * 5)[0])
+        assert got.count("Long enough") == 30 and "Top" not in got, start
+    closed = "<body><noscript>no</noscript><svg><title>no</title></svg><template><p>no</p></template>" + body
+    assert "no" not in " ".join(html.lines_of(closed)[0]).split()
+
+
 def test_trees_hold_out_and_direction():
     rng = np.random.default_rng(2)
     x = rng.random((3000, 3)).astype(np.float32)
