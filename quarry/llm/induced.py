@@ -6,9 +6,9 @@ before it into a queue, from which suffixes leave by their first symbol and then
 of entry. Each carries the common prefix with its predecessor, one more than the least
 common prefix met between the two that induced them, which a stack of minima gives.
 
-The text lies in a file that is mapped, names are sorted in runs on disk, and the queues
-keep in memory only the block of symbols that is being read; what enters later blocks is
-written to disk beyond ``memory`` items. So a shard may be far larger than memory.
+The sort is in memory: lengths of runs, order, names and common prefixes are arrays of the
+whole text. Only queues, their output and the sort of names spill beyond ``memory`` items,
+and the text lies in a mapped file. So a shard, with all stretches of its hottest name, must fit.
 """
 
 from __future__ import annotations
