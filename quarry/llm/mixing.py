@@ -3,8 +3,9 @@
 Each document expects ``total * weight(source) / size(source)`` copies. Within a source,
 in an order given by a seeded hash, the expected copies are summed up, one random offset
 is added, and a document is emitted once for every integer boundary that its part of the
-sum crosses. So the copies of a source differ from the target by less than one, and each
-document's copies from its expectation likewise.
+sum crosses. So each document's copies differ from its expectation by less than one, and
+the copies of a source of n documents from the target by less than 1 + n / 1,000,000, as
+expectations are cut down to whole millionths, in the SQL too.
 
 The prefix sums take two levels: sums within buckets of the hash, and offsets of the
 buckets, so that no source, however hot, is put in order by one task. All arithmetic is in
