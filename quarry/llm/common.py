@@ -21,17 +21,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; if that is unset (tests), a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one on a single machine, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def mounted(folder: str) -> Path:
+    """The shared folder as a path that files can be opened under; it must be mounted."""
+    scheme, colon, path = folder.partition(":")
+    if not colon:
+        return Path(folder)
+    if scheme != "file":
+        raise ValueError(f"sorting on disk needs a shared folder that is mounted, not {scheme}:")
+    return Path("/" + path.lstrip("/"))
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows of ``df`` from a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"

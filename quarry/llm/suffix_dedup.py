@@ -3,9 +3,11 @@
 Every window of ``least`` words is named by the least hash among its short runs of words, so
 equal windows have equal names, wherever they are. Neighbouring windows of one name form a
 stretch of text. Stretches whose name occurs once can't hold a repetition and go, unless the
-run that names them occurs in them again; the rest are dealt to shards by name, so that equal windows meet. A shard sorts the suffixes of its
-distinct stretches; neighbours with ``least`` words in common are repetitions. Spans from
-all shards are then united by document.
+run that names them occurs in them again. Equal stretches are folded into one, with their
+number, before the rest are dealt to shards by name, so that equal windows meet. A shard's
+stretches are streamed to disk, where their suffixes are sorted, and its spans are streamed
+back; neighbours with ``least`` words in common are repetitions. Spans of folded stretches
+and from all shards are then united by document.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import removed, shared_folder, table, texts_of, written
-from quarry.llm.induced import MEMORY, suffixes
+from quarry.llm.common import mounted, removed, shared_folder, table, texts_of, written
+from quarry.llm.induced import MEMORY, Numbers, Queue, suffix_file
 from quarry.llm.simhash import _keyed, _sized
 from quarry.llm.text import U64, chunks, mix, shingles, words
 
@@ -77,39 +80,120 @@ def _named(keyed: DataFrame, least: int, run: int) -> DataFrame:
     return keyed.select("key", "text").mapInArrow(find, "key binary, name bigint, first int, last int, twice boolean")
 
 
-def repeats_in(pieces: list[np.ndarray], codes: list[np.ndarray], least: int, folder: Path, memory: int = MEMORY) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each piece: (its number, whether each start begins a repetition, whether that is the first place of all).
-
-    pieces: distinct stretches. codes: the places of each piece, in order; the least is its
-    own, and only that place is asked about.
+#: Symbols of words come after those of the separators.
+_WORD = 1 << 32
+
+
+class Shard:
+    """Stretches on disk, one after the other with a separator of its own after each, and where they repeat."""
+
+    def __init__(self, folder: Path, memory: int = MEMORY):
+        self.folder, self.memory, self.many = folder, memory, 0
+        self.text = Numbers(folder, 1, memory // 8)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """flat: 32-bit hashes of the words of some stretches, end to end."""
+        n = len(sizes)
+        symbols = np.empty(len(flat) + n, np.int64)
+        ends = np.cumsum(sizes + 1) - 1
+        inside = np.ones(len(symbols), bool)
+        inside[ends] = False
+        symbols[inside] = flat.astype(np.uint32).astype(np.int64) + _WORD
+        symbols[ends] = np.arange(self.many + 1, self.many + n + 1)
+        self.many += n
+        for at in range(0, len(symbols), 1 << 15):
+            self.text.append(symbols[at : at + (1 << 15)])
+
+    def sort(self, least: int) -> None:
+        """Notes the places at which ``least`` words begin that occur again, and the first of each set of equals."""
+        self.text.append(np.zeros(1, np.int64))
+        self.text.spill()
+        rows = suffix_file(self.text, self.folder, self.memory)
+        self.width = max(self.memory // 8, 1 << 12, -(-self.text.rows // (1 << 12)))
+        self.flags = Queue(np.arange(0, self.text.rows, self.width), self.folder, 2, self.memory)
+        step, first = max(4, self.memory // 32), -1
+        for at in range(0, rows.rows, step):
+            part = rows.read(at, at + step + 1)
+            place, alike = part[:, 0], part[:, 1] >= least
+            n = min(step, rows.rows - at)
+            with_next = np.append(alike[1:], False)[:n]
+            again = alike[:n] | with_next
+            self.flags.push(np.stack([place[:n][again], np.zeros(again.sum(), np.int64)], axis=1))
+            # Sets of equals end where the next row isn't alike; one may go on from the rows before.
+            start = np.flatnonzero(~alike[:n])
+            cuts = np.unique(np.append(0, start))
+            low = np.minimum.reduceat(place[:n], cuts)
+            if alike[0] and first >= 0:
+                low[0] = min(low[0], first)
+            last = np.append(cuts[1:], n) - 1
+            closed = ~with_next[last]
+            real = closed & again[last]
+            self.flags.push(np.stack([low[real], np.ones(real.sum(), np.int64)], axis=1))
+            first = -1 if closed[-1] else int(low[-1])
+        rows.close()
+        self.text.close()
+        self.now, self.loaded = -1, None
+
+    def marks(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each place from a to b, later than those asked before, repeats, and whether it is the first of its equals."""
+        out = np.zeros((2, b - a), bool)
+        for k in range(a // self.width, -(-b // self.width)):
+            if k != self.now:
+                block = self.flags.open(k)
+                rows = block.read(0, block.rows)
+                self.now, self.loaded = k, np.zeros((2, self.width), bool)
+                self.loaded[0, rows[rows[:, 1] == 0, 0] - k * self.width] = True
+                self.loaded[1, rows[rows[:, 1] == 1, 0] - k * self.width] = True
+                block.close()
+            low, high = max(a, k * self.width), min(b, (k + 1) * self.width)
+            out[:, low - a : high - a] = self.loaded[:, low - k * self.width : high - k * self.width]
+        return out[0], out[1]
+
+
+def stretch_spans(batches, folder: Path, least: int, memory: int):
+    """Spans of folded stretches, which come in the order of their first places: batches of digest, key, first, many and words.
+
+    Yields digest, key, first, again (null for what holds for all other places), first_word
+    and last_word, which count within the document, or within the stretch where again is null.
     """
-    sizes = np.array([len(p) for p in pieces])
-    every = np.concatenate(pieces)
-    _, symbols = np.unique(every, return_inverse=True)
-    # A separator of its own after each piece, the last of all 0.
-    m = len(pieces)
-    begin = np.cumsum(sizes + 1) - sizes - 1
-    text = np.zeros(len(every) + m, np.int64)
-    inside = np.ones(len(text), bool)
-    inside[begin + sizes] = False
-    text[inside] = symbols + m
-    text[begin + sizes] = (np.arange(m) + 1) % m
-    order, common = suffixes(text, folder, memory)
-    new = common < least
-    group = np.cumsum(new) - 1
-    piece = np.searchsorted(begin, order, "right") - 1
-    place = order - begin[piece]
-    code = np.array([c[0] for c in codes])[piece] + place
-    many = np.array([len(c) for c in codes])
-    starts = np.flatnonzero(new)
-    lowest = np.minimum.reduceat(code, starts)[group]
-    size = np.diff(np.append(starts, len(order)))[group]
-    valid = place + least <= sizes[piece]
-    repeated = valid & ((size > 1) | (many[piece] > 1))
-    earliest = repeated & (code == lowest)
-    is_repeated, is_first = np.zeros(len(text), bool), np.zeros(len(text), bool)
-    is_repeated[order], is_first[order] = repeated, earliest
-    return [(k, is_repeated[b : b + n], is_first[b : b + n]) for k, (b, n) in enumerate(zip(begin, sizes, strict=True))]
+    folder.mkdir(parents=True)
+    try:
+        shard, notes = Shard(folder, memory), folder / "notes"
+        kept = ("digest", "key", "first", "many")
+        schema = pa.schema([("digest", pa.binary()), ("key", pa.binary()), ("first", pa.int32()), ("many", pa.bool_()), ("size", pa.int64())])
+        with pa.OSFile(str(notes), "wb") as sink, pa.ipc.new_stream(sink, schema) as out:
+            for batch in batches:
+                column = batch.column(batch.schema.get_field_index("words"))
+                sizes = column.value_lengths().to_numpy().astype(np.int64)
+                if len(sizes):
+                    shard.add(column.flatten().to_numpy(), sizes)
+                    out.write_batch(pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)).cast(schema.field(n).type) for n in kept), pa.array(sizes)], schema=schema))
+        if not shard.many:
+            return
+        shard.sort(least)
+        at = 0
+        with pa.OSFile(str(notes), "rb") as source, pa.ipc.open_stream(source) as reader:
+            for batch in reader:
+                sizes, first, many = (batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 2, 3))
+                begin = np.cumsum(sizes + 1) - sizes - 1
+                again, earliest = shard.marks(at, at + int((sizes + 1).sum()))
+                place = np.arange(len(again)) - np.repeat(begin, sizes + 1)
+                folded = np.repeat(many, sizes + 1) & (place + least <= np.repeat(sizes, sizes + 1))
+                earliest = (again & earliest) | (folded & ~again)
+                repeated = again | folded
+                at += len(again)
+                rows = []
+                for kind, marked in ((False, earliest), (True, repeated & ~earliest), (None, repeated & np.repeat(many, sizes + 1))):
+                    spans = np.array(_spans(marked, least), np.int64).reshape(-1, 2)
+                    of = np.searchsorted(begin, spans[:, 0], "right") - 1
+                    shift = begin[of] - (0 if kind is None else first[of])
+                    rows.append((of, [kind] * len(of), spans[:, 0] - shift, spans[:, 1] - shift))
+                of = pa.array(np.concatenate([r[0] for r in rows]))
+                arrays = [batch.column(k).take(of) for k in range(3)]
+                arrays += [pa.array(sum((r[1] for r in rows), []), pa.bool_()), *(pa.array(np.concatenate([r[k] for r in rows]).astype(np.int32)) for k in (2, 3))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["digest", "key", "first", "again", "first_word", "last_word"])
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def _spans(flags: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -157,44 +241,27 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 which = pa.array([k for k, _ in rows], pa.int64())
                 values = [short[offsets[k - a] + p["first"] : offsets[k - a] + p["last"]] for k, p in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(which), batch.column(1).take(which), pa.array([p["name"] % shards for _, p in rows], pa.int32()), pa.array([p["first"] for _, p in rows], pa.int32()), pa.array(values, pa.list_(pa.int32()))],
-                    names=["key", "id", "shard", "first", "words"],
+                    [batch.column(0).take(which), batch.column(1).take(which), pa.array([p["name"] for _, p in rows], pa.int64()), pa.array([p["first"] for _, p in rows], pa.int32()),
+                     pa.array([xxhash.xxh3_128_digest(v) for v in values], pa.binary()), pa.array(values, pa.list_(pa.int32()))],
+                    names=["key", "id", "name", "first", "digest", "words"],
                 )
 
     id_type = keyed.schema["id"].dataType.simpleString()
-    pieces = holders.select("key", "id", "text", "parts").mapInArrow(cut, f"key binary, id {id_type}, shard int, first int, words array<int>")
-
-    def sort(group: pa.Table) -> pa.Table:
-        keys = group["key"].to_pylist()
-        ids = group["id"].to_pylist()
-        first = group["first"].to_numpy()
-        holder = sorted({(i is not None, i if i is not None else 0, k) for i, k in zip(ids, keys, strict=True)})
-        rank = {k: r for r, (_, _, k) in enumerate(holder)}
-        code = np.array([rank[k] for k in keys], np.int64) << 32 | first
-        column = group["words"].combine_chunks()
-        flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
-        alike: dict[bytes, list[int]] = {}
-        for k in np.argsort(code).tolist():
-            alike.setdefault(flat[ends[k] : ends[k + 1]].tobytes(), []).append(k)
-        owners = list(alike.values())
-        folder = Path(scratch.removeprefix("file:")) / f"suffixes-{uuid.uuid4().hex}"
-        folder.mkdir(parents=True)
-        out: list[tuple[int, bool, int, int]] = []
-        try:
-            shape = [flat[ends[o[0]] : ends[o[0] + 1]] for o in owners]
-            for k, repeated, earliest in repeats_in(shape, [code[o] for o in owners], least, folder, memory):
-                own, *others = owners[k]
-                out += [(own, False, a, b) for a, b in _spans(earliest, least)]
-                out += [(own, True, a, b) for a, b in _spans(repeated & ~earliest, least)]
-                whole = _spans(repeated, least)
-                out += [(o, True, a, b) for o in others for a, b in whole]
-        finally:
-            shutil.rmtree(folder, ignore_errors=True)
-        at = np.array([o[0] for o in out], np.int64)
-        a, b = (np.array([o[k] for o in out], np.int32) + first[at].astype(np.int32) for k in (2, 3))
-        return pa.table({"key": group["key"].combine_chunks().take(pa.array(at)), "again": pa.array([o[1] for o in out], pa.bool_()), "first_word": pa.array(a, pa.int32()), "last_word": pa.array(b, pa.int32())})
-
-    spans = written(pieces.groupBy("shard").applyInArrow(sort, "key binary, again boolean, first_word int, last_word int"), "spans")
+    cuts = holders.select("key", "id", "text", "parts").mapInArrow(cut, f"key binary, id {id_type}, name bigint, first int, digest binary, words array<int>")
+    pieces = written(cuts, "pieces")
+    # Equal stretches are one, at their first place: the least id (nulls come first), key and place.
+    place = F.struct(F.col("id").isNotNull().alias("known"), "id", "key", "first")
+    folded = pieces.groupBy("name", "digest").agg(F.min(place).alias("own"), (F.count(F.lit(1)) > 1).alias("many"), F.first("words").alias("words"))
+    dealt = folded.repartition(shards, "name").sortWithinPartitions("own").select("digest", "own.key", "own.first", "many", "words")
+
+    def sort(batches):
+        yield from stretch_spans(batches, mounted(scratch) / f"suffixes-{uuid.uuid4().hex}", least, memory)
+
+    found_spans = written(dealt.mapInArrow(sort, "digest binary, key binary, first int, again boolean, first_word int, last_word int"), "stretch_spans")
+    own = found_spans.filter("again IS NOT NULL").select("key", "again", "first_word", "last_word")
+    shared = found_spans.filter("again IS NULL").select("digest", F.col("key").alias("own_key"), F.col("first").alias("own_first"), "first_word", "last_word")
+    others = pieces.select("digest", "key", "first").join(_sized(shared, shared.count()), "digest").filter("key != own_key OR first != own_first")
+    spans = own.unionByName(others.select("key", F.lit(True).alias("again"), (F.col("first") + F.col("first_word")).alias("first_word"), (F.col("first") + F.col("last_word")).alias("last_word")))
     by_text = spans.groupBy("key").agg(F.collect_list(F.struct("again", "first_word", "last_word")).alias("spans"))
 
     def unite(batches):
@@ -223,8 +290,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             kinds = (pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=True))], names=["id", "again", "first_word", "last_word", "first_char", "last_char"])
 
-    out = some.join(by_text, "key").select("id", "text", "spans").mapInArrow(unite, f"id {id_type}, again boolean, first_word int, last_word int, first_char int, last_char int")
-    removed(found)
+    made = some.join(by_text, "key").select("id", "text", "spans").mapInArrow(unite, f"id {id_type}, again boolean, first_word int, last_word int, first_char int, last_char int")
+    out = written(made, "passages")
+    for df in (found, kept, wanted, pieces, found_spans):
+        removed(df)
     return out
 
 

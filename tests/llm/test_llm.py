@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, html, mixing, pii, quality, simhash, suffix_dedup, token_counts, warc, webp
-from quarry.llm.induced import suffixes
+from quarry.llm.induced import Numbers, suffix_file, suffixes
 from quarry.llm.text import shingles, words
 
 SF = "/root/testdata/sf0.001"
@@ -229,11 +229,13 @@ def test_trees_hold_out_and_direction():
     assert (np.diff(f.scores(line)) <= 1e-12).all()
 
 
-@pytest.mark.parametrize("memory", [4, 1000])
+@pytest.mark.parametrize("memory", [8, 130, 1000])
 def test_suffixes_against_brute_force(tmp_path, memory):
     rng = np.random.default_rng(4)
     for _ in range(150):
         t = np.append(rng.integers(1, rng.integers(2, 6), rng.integers(1, 50)), 0)
+        if rng.random() < 0.3:
+            t = np.append(np.repeat(rng.integers(1, 4, 9), rng.integers(1, 30, 9)), 0)
         x = t.tolist()
         order = sorted(range(len(x)), key=lambda i, x=x: x[i:])
         got, common = suffixes(t, tmp_path, memory)
@@ -243,6 +245,28 @@ def test_suffixes_against_brute_force(tmp_path, memory):
             assert common[k] == next(i for i in range(len(x)) if i >= len(a) or i >= len(b) or a[i] != b[i])
 
 
+def test_sorting_on_disk_needs_no_more_memory_for_longer_texts(tmp_path):
+    import tracemalloc
+
+    def peak(n):
+        rng = np.random.default_rng(n)
+        text = Numbers(tmp_path, 1, 12_500)
+        for _ in range(n // 1000):
+            text.append(np.minimum(rng.zipf(1.4, 1000), 3000))
+        text.append(np.zeros(1, np.int64))
+        tracemalloc.start()
+        made = suffix_file(text, tmp_path, 100_000)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert made.rows == n + 1 and (made.written > 0 or n < 40_000)
+        made.close()
+        text.close()
+        return most
+
+    peak(1000)
+    assert peak(400_000) < 2 * peak(40_000)
+
+
 def test_passages_against_brute_force(spark):
     rng = random.Random(5)
     pool = [f"w{k}" for k in range(400)]
