@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -44,19 +46,52 @@ def mounted(folder: str) -> Path:
     return Path("/" + path.lstrip("/"))
 
 
+#: Folders of tables that ``written`` made and nothing has deleted yet.
+_MADE: list[str] = []
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows of ``df`` from a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+    """The rows of ``df`` from a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    What isn't deleted by ``removed`` or ``cleared`` goes when the driver ends.
+    """
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    name = folder.rstrip("/").rpartition("/")[2]
+    _MADE[:] = [m for m in _MADE if m.rpartition("/")[2] != name]
+
+
 def removed(df: DataFrame) -> None:
     """Deletes the table that ``written`` made, once nothing reads it any more."""
-    spark = df.sparkSession
     for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def mark() -> int:
+    """A point in time for ``cleared``."""
+    return len(_MADE)
+
+
+def cleared(since: int, *kept: DataFrame) -> None:
+    """Deletes all tables written since the mark but those that ``kept`` read."""
+    names = {file.rpartition("/")[0].rpartition("/")[2] for df in kept for file in df.inputFiles()}
+    for folder in _MADE[since:]:
+        if folder.rpartition("/")[2] not in names and (spark := SparkSession.getActiveSession()):
+            _delete(spark, folder)
+
+
+@atexit.register
+def _leave() -> None:
+    for folder in _MADE:
+        if not folder.partition(":")[1] or folder.startswith("file:"):
+            shutil.rmtree(mounted(folder), ignore_errors=True)
 
 
 def spare(df: DataFrame, *names: str) -> list[str]:

@@ -1,13 +1,13 @@
 """SimHash near-duplicates by navigable small-world graphs over Hamming distance.
 
 Signatures of 256 bits summarise the distinct runs of two words. Texts with the same words are one node.
-Nodes are dealt to shards. A shard's graph is made of rings: ring t holds all nodes in the
-order of the signature turned left by 4t bits, and links each to the next ones on it; a
-near node is a few links away on the rings in which its differing bits come late, and each
-ring leads to other regions. Every block of queries is sent to every shard, enters each
-ring at its own place, and looks along a beam to both sides. Each task audits the recall of
-a sample of its queries, by query and by group, against exact search and doubles the beam
-until the target is met.
+Nodes are dealt to shards. A shard's graph has adjacency lists: each node's nearest ones of
+those that stand beside it in 64 orders of the signatures (order t compares them turned
+left by 4t bits), and a few links far away in one of the orders. Every block of queries is sent
+to every shard's graph. A query enters beside its own place in each order and walks best
+first: a beam holds the nearest nodes met, and the links of those not yet expanded are looked
+at until all of the beam are. Each task audits the recall of a sample of its queries, by
+query and by group, against exact search; beam and entries double until the target is met.
 
 All pairs within the radius are candidates. Two edge-disjoint minimum spanning forests of
 them are verified first, by the exact Jaccard similarity of runs of three words; then all
@@ -21,18 +21,22 @@ or beam.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import column, removed, spare, table, texts_of, written
+from quarry.llm.common import cleared, column, mark, removed, spare, table, texts_of, written
 from quarry.llm.components import components, forest
 from quarry.llm.text import U64, chunks, mix, shingles, words
 
 #: Production parameters: Jaccard similarity, bits that may differ, nodes of a shard.
-SIMILARITY, RADIUS, SHARD = 0.6, 72, 1 << 21
-RINGS, BEAM, AUDITED, RECALL = 64, 8, 512, 0.95
+SIMILARITY, RADIUS, SHARD = 0.6, 72, 1 << 18
+ORDERS, BEAM, AUDITED, RECALL = 64, 16, 512, 0.95
+#: Links of a node to near ones and to far ones, nodes of the beam expanded at once, and queries that walk at once.
+NEAR, FAR, EXPANDED, WALKERS = 16, 4, 4, 8192
 #: Direct links that tie a query to a large group, audited queries with partners wanted, and blocks of AUDITED to find them in.
 ENOUGH_LINKS, QUERIES_SEEN, MOST_BLOCKS = 16, 256, 16
 #: Nodes of a slice compared exactly with all texts, those with partners wanted, slices at most, and the widest radius.
@@ -112,35 +116,129 @@ def _turned(s: np.ndarray, bits: int) -> np.ndarray:
     return left if not shift else (left << U64(shift)) | (right >> U64(64 - shift))
 
 
-def ring_pairs(graph: np.ndarray, queries: np.ndarray | None, radius: int, beam: int, rings: int = RINGS) -> np.ndarray:
-    """Pairs (node, query) within the radius that beams along the rings meet; queries None: the nodes themselves."""
-    found: list[np.ndarray] = []
-    step = 256 // rings
-    many = len(graph) if queries is None else len(queries)
-    for ring in range(rings):
-        keys = _turned(graph, ring * step)
-        order = np.argsort(keys)
-        nodes = graph[order]
+_FARTHEST = np.iinfo(np.int64).max
+
+
+def _merged(best: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The nearest of both, as many as ``best`` has: keys of distance, node and whether it isn't expanded yet."""
+    every = np.concatenate([best, more], axis=1)
+    every.sort(axis=1)
+    # Of a node's keys the expanded one comes first.
+    every[:, 1:][(every[:, 1:] >> 1) == (every[:, :-1] >> 1)] = _FARTHEST
+    every.sort(axis=1)
+    return every[:, : best.shape[1]]
+
+
+class Graph:
+    """Adjacency lists over the signatures of a shard."""
+
+    def __init__(self, marks: np.ndarray, radius: int, beam: int, links: int = NEAR, far: int = FAR):
+        self.marks, self.radius, self.beam = marks, radius, beam
+        self.reach = max(1, min(beam // 4, len(marks)))
+        self.orders = np.empty((ORDERS, len(marks)), np.int32)
+        for t in range(ORDERS):
+            self.orders[t] = np.argsort(_turned(marks, t * (256 // ORDERS)))
+        self.met: list[np.ndarray] = []
+        self.own = self._beside_each(max(links, beam))
+        near = self.own[:, :links]
+        node = np.where(near == _FARTHEST, -1, (near >> 1) & 0xFFFFFFFF)
+        self.links = np.concatenate([node, self._far(far)], axis=1).astype(np.int32)
+
+    def _far(self, many: int) -> np.ndarray:
+        """Links by powers of two along the first orders, so that every region leads to all others."""
+        n = len(self.marks)
+        out = np.full((n, many), -1, np.int64)
+        rng = np.random.default_rng(n)
+        for k in range(many):
+            order = self.orders[k % ORDERS].astype(np.int64)
+            step = 1 << rng.integers(0, max(1, n.bit_length() - 1), n)
+            out[order, k] = order[(np.arange(n) + step) % n]
+        return out
+
+    def _note(self, node: np.ndarray, query: np.ndarray, many: int) -> None:
+        self.met.append(node * many + query)
+
+    def _beside_each(self, width: int) -> np.ndarray:
+        """Keys of the nearest nodes beside each node in the orders; all pairs within the radius are noted."""
+        n = len(self.marks)
+        best, columns = np.full((n, width), _FARTHEST), []
+        for t in range(ORDERS):
+            order = self.orders[t].astype(np.int64)
+            nodes = self.marks[order]
+            for d in range(1, min(self.reach, n - 1) + 1):
+                a, b, far = order[:-d], order[d:], _distance(nodes[:-d], nodes[d:]).astype(np.int64)
+                hit = far <= self.radius
+                self._note(np.minimum(a[hit], b[hit]), np.maximum(a[hit], b[hit]), n)
+                for x, y in ((a, b), (b, a)):
+                    column = np.full(n, _FARTHEST)
+                    column[x] = far << 40 | y << 1 | 1
+                    columns.append(column)
+                if len(columns) >= 48:
+                    best, columns = _merged(best, np.stack(columns, axis=1)), []
+            if t % 8 == 7 and self.met:
+                self.met = [np.unique(np.concatenate(self.met))]
+        return _merged(best, np.stack(columns, axis=1)) if columns else best
+
+    def _enter(self, queries: np.ndarray, first: int, many: int) -> np.ndarray:
+        """Keys of the nodes beside the queries' places in all orders."""
+        n = len(self.marks)
+        best, columns = np.full((len(queries), self.beam), _FARTHEST), []
+        for t in range(ORDERS):
+            order = self.orders[t].astype(np.int64)
+            place = np.searchsorted(_turned(self.marks, t * (256 // ORDERS))[order], _turned(queries, t * (256 // ORDERS)))
+            for d in range(-self.reach, self.reach):
+                at = place + d
+                sound = (at >= 0) & (at < n)
+                node = order[np.where(sound, at, 0)]
+                far = _distance(self.marks[node], queries).astype(np.int64)
+                hit = np.flatnonzero(sound & (far <= self.radius))
+                self._note(node[hit], hit + first, many)
+                columns.append(np.where(sound, far << 40 | node << 1 | 1, _FARTHEST))
+                if len(columns) >= 48:
+                    best, columns = _merged(best, np.stack(columns, axis=1)), []
+        return _merged(best, np.stack(columns, axis=1)) if columns else best
+
+    def _walk(self, queries: np.ndarray, best: np.ndarray, first: int, many: int) -> None:
+        """Best-first beam search from the nodes of ``best``; pairs within the radius are noted."""
+        live = np.arange(len(queries))
+        while len(live):
+            keys = best[live]
+            fresh = (keys & 1 == 1) & (keys != _FARTHEST)
+            pick = fresh & (np.cumsum(fresh, axis=1) <= EXPANDED)
+            going = pick.any(axis=1)
+            live, keys, pick = live[going], keys[going], pick[going]
+            if not len(live):
+                break
+            row, at = np.nonzero(pick)
+            node = self.links[(keys[row, at] >> 1) & 0xFFFFFFFF].astype(np.int64)
+            keys[row, at] &= ~1
+            far = np.bitwise_count(self.marks[np.maximum(node, 0)] ^ queries[live[row], None]).sum(axis=2, dtype=np.int64)
+            hit = np.nonzero((node >= 0) & (far <= self.radius))
+            self._note(node[hit], live[row[hit[0]]] + first, many)
+            # The expanded nodes' links side by side, up to EXPANDED of them in a row.
+            more = np.full((len(live), EXPANDED, node.shape[1]), _FARTHEST)
+            more[row, np.arange(len(row)) - np.searchsorted(row, row)] = np.where(node >= 0, far << 40 | node << 1 | 1, _FARTHEST)
+            best[live] = _merged(keys, more.reshape(len(live), -1))
+
+    def pairs(self, queries: np.ndarray | None) -> np.ndarray:
+        """Pairs (node, query) within the radius that are met; queries None: the nodes themselves, each pair once."""
+        asked = self.marks if queries is None else queries
+        many = len(asked)
+        if queries is not None:
+            self.met = []
+        for a in range(0, many, WALKERS):
+            part = asked[a : a + WALKERS]
+            start = self.own[a : a + WALKERS, : self.beam].copy() if queries is None else self._enter(part, a, many)
+            self._walk(part, start, a, many)
+            if len(self.met) > 64:
+                self.met = [np.unique(np.concatenate(self.met))]
+        met = np.unique(np.concatenate(self.met)) if self.met else np.zeros(0, np.int64)
+        self.met = []
+        node, query = met // max(many, 1), met % max(many, 1)
         if queries is None:
-            for d in range(1, min(beam, len(order) - 1) + 1):
-                hit = np.flatnonzero(_distance(nodes[:-d], nodes[d:]) <= radius)
-                a, b = order[hit], order[hit + d]
-                found.append(np.minimum(a, b) * many + np.maximum(a, b))
-        else:
-            asked = _turned(queries, ring * step)
-            turn = np.argsort(asked)
-            entry = np.searchsorted(keys[order], asked[turn])
-            mine = queries[turn]
-            for d in range(-beam, beam):
-                at = entry + d
-                sound = (at >= 0) & (at < len(order))
-                hit = np.flatnonzero(sound)
-                hit = hit[_distance(nodes[at[hit]], mine[hit]) <= radius]
-                found.append(order[at[hit]] * many + turn[hit])
-        if ring % 8 == 7:
-            found = [np.unique(np.concatenate(found))] if found else []
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return np.stack([pairs // max(many, 1), pairs % max(many, 1)], axis=1)
+            met = np.unique(np.minimum(node, query)[node != query] * many + np.maximum(node, query)[node != query])
+            node, query = met // max(many, 1), met % max(many, 1)
+        return np.stack([node, query], axis=1)
 
 
 def exact_pairs(graph: np.ndarray, queries: np.ndarray, chosen: np.ndarray, radius: int) -> np.ndarray:
@@ -192,15 +290,18 @@ def search(graph: np.ndarray, queries: np.ndarray | None, radius: int = RADIUS,
         truth = np.concatenate([truth, np.stack([base, len(sample) + np.arange(len(base))], axis=1)])
     trial = np.concatenate([asked[sample], probes])
     while True:
-        partners, share = _shares(truth, ring_pairs(graph, trial, radius, beam), max(1, len(trial)))
+        made = Graph(graph, radius, beam)
+        own = made.met
+        partners, share = _shares(truth, made.pairs(trial), max(1, len(trial)))
         got = min(share.mean(), np.average(share, weights=1 / partners)) if len(share) else 1.0
-        if got >= recall or beam >= len(graph):
-            return ring_pairs(graph, queries, radius, beam), float(got), beam
+        if got >= recall or beam >= 4 * len(graph):
+            made.met = own
+            return made.pairs(queries), float(got), beam
         beam *= 2
 
 
 def _candidates(nodes: DataFrame, count: int, radius: int, shard_rows: int, beam: int = BEAM) -> DataFrame:
-    """Pairs of nodes within the radius: (a, b, part), part 1 or 2: in that spanning forest of its task, 0: in neither."""
+    """Pairs of nodes within the radius: (a, b, part), part 1 or 2: in that spanning forest of its task, 0: in neither, -1: not a pair but the task's audit."""
     shards = max(1, -(-count // shard_rows))
     # Shard i's nodes go to the tasks (i, j) and (j, i), i <= j: queries of i against the graph of j.
     place = nodes.withColumn("shard", F.pmod(F.xxhash64("n0", "n1"), F.lit(shards)).cast("int"))
@@ -214,10 +315,10 @@ def _candidates(nodes: DataFrame, count: int, radius: int, shard_rows: int, beam
         mark = np.stack([group[s].to_numpy() for s in _SIGNATURE], axis=1).view(np.uint64)
         low, high = divmod(task, shards)
         if low == high:
-            pairs, _, _ = search(mark, None, radius, beam)
+            pairs, recall, beam_used = search(mark, None, radius, beam)
         else:
             asks, holds = np.flatnonzero(shard == low), np.flatnonzero(shard == high)
-            pairs, _, _ = search(mark[holds], mark[asks], radius, beam)
+            pairs, recall, beam_used = search(mark[holds], mark[asks], radius, beam)
             pairs = np.stack([holds[pairs[:, 0]], asks[pairs[:, 1]]], axis=1)
         a, b = pairs[:, 0], pairs[:, 1]
         part = np.zeros(len(a), np.int32)
@@ -225,8 +326,9 @@ def _candidates(nodes: DataFrame, count: int, radius: int, shard_rows: int, beam
         for k in (1, 2):
             rest = np.flatnonzero(part == 0)
             part[rest[forest(len(name), a[rest], b[rest], weight[rest])]] = k
-        arrays = [name[a, 0], name[a, 1], name[b, 0], name[b, 1]]
-        return pa.table([*(pa.array(x) for x in arrays), pa.array(part)], names=["a0", "a1", "b0", "b1", "part"])
+        # The last row is the task's audit: recall in millionths, the beam, the task.
+        arrays = [np.append(x, y) for x, y in zip((name[a, 0], name[a, 1], name[b, 0], name[b, 1], part), (int(recall * 1e6), beam_used, task, 0, -1), strict=True)]
+        return pa.table([*(pa.array(x, pa.int64()) for x in arrays[:4]), pa.array(arrays[4], pa.int32())], names=["a0", "a1", "b0", "b1", "part"])
 
     flat = sent.select("task", "shard", "n0", "n1", *_SIGNATURE).groupBy("task").applyInArrow(run, "a0 bigint, a1 bigint, b0 bigint, b1 bigint, part int")
     return flat.select(F.struct(F.col("a0").alias("n0"), F.col("a1").alias("n1")).alias("a"), F.struct(F.col("b0").alias("n0"), F.col("b1").alias("n1")).alias("b"), "part")
@@ -249,6 +351,11 @@ def _runs(texts: DataFrame) -> DataFrame:
     return made.select(F.struct("n0", "n1").alias("node"), "runs").dropDuplicates(["node"])
 
 
+def audits(pairs: DataFrame) -> DataFrame:
+    """(task, recall, beam): the recall that each task's sample of queries reached against exact search."""
+    return pairs.filter("part = -1").select(F.col("b.n0").alias("task"), (F.col("a.n0") / 1e6).alias("recall"), F.col("a.n1").alias("beam"))
+
+
 def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -348,6 +455,10 @@ def audited_recall(truth: DataFrame, groups: DataFrame) -> float:
 def _groups(nodes: DataFrame, count: int, keyed: DataFrame, summaries: DataFrame, similarity: float, radius: int, shard_rows: int, beam: int) -> DataFrame:
     """(node, root) of the groups that verified candidates make."""
     pairs = written(_candidates(nodes, count, radius, shard_rows, beam), "candidates")
+    least = audits(pairs).agg(F.min("recall")).first()[0]
+    if least is not None and least < RECALL:
+        # Only where the beam already takes in the whole shard.
+        logging.getLogger(__name__).warning("recall of %.3f against exact search", least)
     first = _verified(pairs.filter("part > 0").select("a", "b"), keyed, summaries, similarity)
     groups = components(first)
     # Candidates outside the forests whose ends the verified edges don't link.
@@ -373,6 +484,7 @@ def duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key: a hash of id and text. repeats: how often that very id and text occur. The row with
     the least (id, key) of a group is kept, null ids after others.
     """
+    since = mark()
     keyed = _keyed(docs, id_col, text_col)
     summaries = written(_summaries(keyed), "summaries")
     counted = summaries.groupBy("n0", "n1").agg(*[F.first(s).alias(s) for s in _SIGNATURE])
@@ -401,7 +513,9 @@ def duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = written(placed.join(sizes, "group"), "members")
     named = members.join(ids.distinct(), "key").select("key", "id", "group", "repeats")
     least = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("kept"))
-    return named.join(least, "group").select("key", "id", F.col("kept.key").alias("kept_key"), F.col("kept.id").alias("kept_id"), "repeats")
+    out = written(named.join(least, "group").select("key", "id", F.col("kept.key").alias("kept_key"), F.col("kept.id").alias("kept_id"), "repeats"), "duplicates")
+    cleared(since, out)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, shard_rows: int = SHARD) -> DataFrame:
@@ -414,7 +528,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     are compared whole. An empty table gives an empty table. Other columns are kept.
     """
     (key,) = spare(docs, "key")
-    rows = written(duplicate_rows(docs, id_col, text_col, similarity, radius, shard_rows), "duplicates")
+    rows = duplicate_rows(docs, id_col, text_col, similarity, radius, shard_rows)
     gone = rows.filter("key != kept_key").select(F.col("key").alias(key))
     ident, text = column(docs, id_col), column(docs, text_col)
     hashed = docs.withColumn(key, F.unhex(F.md5(F.concat_ws("|", F.coalesce(ident.cast("string"), F.lit("null")), F.coalesce(text, F.lit(""))))))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mounted, removed, shared_folder, table, texts_of, written
+from quarry.llm.common import cleared, mark, mounted, shared_folder, table, texts_of, written
 from quarry.llm.induced import MEMORY, Numbers, Queue, suffix_file
 from quarry.llm.simhash import _keyed, _sized
 from quarry.llm.text import U64, chunks, mix, shingles, words
@@ -219,7 +219,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     without end repeats itself. Other columns play no part. An empty table gives no spans.
     """
     spark = docs.sparkSession
-    scratch = shared_folder(spark)
+    scratch, since = shared_folder(spark), mark()
     keyed = _keyed(docs, id_col, text_col)
     found = written(_named(keyed, least, min(RUN, least)), "stretches")
     names = found.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.bool_or("twice").alias("twice")).filter("n > 1 OR twice").select("name")
@@ -292,8 +292,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     made = some.join(by_text, "key").select("id", "text", "spans").mapInArrow(unite, f"id {id_type}, again boolean, first_word int, last_word int, first_char int, last_char int")
     out = written(made, "passages")
-    for df in (found, kept, wanted, pieces, found_spans):
-        removed(df)
+    cleared(since, out)
     return out
 
 

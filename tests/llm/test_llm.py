@@ -121,6 +121,13 @@ def test_search_beside_a_hot_group():
     assert simhash.search(nodes(20_000), None, beam=1)[2] > 1
 
 
+def test_every_task_of_the_search_is_audited(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    summaries = simhash._summaries(simhash._keyed(docs, "doc_id", "text")).dropDuplicates(["n0", "n1"]).cache()
+    rows = simhash.audits(simhash._candidates(summaries, summaries.count(), simhash.RADIUS, 80)).collect()
+    assert len(rows) > 3 and all(r.recall >= simhash.RECALL for r in rows)
+
+
 def test_simhash_repeated_line_and_exact_audit(spark):
     pool = [f"w{k}" for k in range(3000)]
     base = [random.Random(k).choices(pool, k=200) for k in range(20)]
