@@ -88,6 +88,8 @@ class Lines(HTMLParser):
         first, *more = data.split("\n")
         if first.strip():
             self.text[-1].append(first)
+        elif first and self.text[-1]:
+            self.text[-1].append(" ")  # a blank between inline tags parts words
         for part in more:
             self._next()
             if part.strip():
@@ -100,6 +102,8 @@ def lines_of(html: str) -> tuple[list[str], np.ndarray]:
     for at in range(0, len(html), PIECE):
         parser.feed(html[at : at + PIECE])
     parser.close()
+    if len(parser.text) > 1 and not parser.text[-1] and not parser.tags[-1]:
+        del parser.text[-1], parser.tags[-1]
     return [" ".join("".join(t).split()) for t in parser.text], np.array(parser.tags)
 
 

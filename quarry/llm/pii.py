@@ -29,6 +29,8 @@ _ISSUER = re.compile(r"4|5|6|3[04-9]|2[2-7]")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?<!\d)\(?\d{2,4}\)?[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)")
+#: Numbers with a country code and no blanks.
+_E164 = re.compile(r"(?<![\w+])\+[1-9]\d{7,14}(?!\d)")
 _SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:[0-9a-fA-F]{32,}|(?:sk|pk|ghp|xox[bp]|AKIA)[A-Za-z0-9_-]{16,})(?![A-Za-z0-9_])")
 #: Keys that their prefix alone gives away; after sk and pk, which also begin words, with a digit.
 _PREFIXED = re.compile(r"AKIA[A-Z0-9]{16}|ghp_|xox[bp]-|[sp]k[_-](?=.*\d)")
@@ -122,6 +124,8 @@ def _proposed(text: str):
         if 9 <= len(digits) <= 15:
             cut = len(re.findall(r"[ .()-]+", m.group()))
             yield "phone", m.start(), m.end(), 0.7 if m.group()[0] == "+" and cut else 0.55 if marks >= 2 or _LOCAL_PHONE.fullmatch(m.group()) else 0.4 if cut >= 2 else 0.2
+    for m in _E164.finditer(text):
+        yield "phone", m.start(), m.end(), 0.55 if m.end() - m.start() > 10 else 0.4
     for m in _SECRET.finditer(text):
         yield "secret", m.start(), m.end(), 0.7 if _PREFIXED.match(m.group()) else 0.45
 
@@ -178,7 +182,10 @@ def redact(docs: DataFrame, text_col: str = "text", spans_col: str | None = None
     score), in place of one of that name. only_found: only rows with a span. Null texts
     stay null with no spans, empty ones stay empty; texts of any length are searched whole.
     Repeated rows are treated alike. Other columns are kept. An empty table stays empty.
+    spans_col must not be text_col.
     """
+    if spans_col and spans_col.lower() == text_col.lower():
+        raise ValueError("the spans need a column of their own")
     (made,) = spare(docs, "found")
     text = column(docs, text_col)
     # Null where no pattern can match, so that such texts aren't sent to Python.
