@@ -18,6 +18,7 @@ memory is bounded by ``memory`` and doesn't grow with the text.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -44,6 +45,7 @@ class Numbers:
         self.path, self.width, self.memory = folder / uuid.uuid4().hex, width, memory
         self.rows = self.written = self.waiting = 0
         self.held: list[np.ndarray] = []
+        self.file: int | None = None
 
     def append(self, rows: np.ndarray) -> None:
         if len(rows):
@@ -69,7 +71,13 @@ class Numbers:
         if self.written and self.waiting:
             self.spill()
         if self.written:
-            return np.fromfile(self.path, np.int64, (b - a) * self.width, offset=a * self.width * 8).reshape(-1, self.width)
+            if self.file is None:
+                self.file = os.open(self.path, os.O_RDONLY)
+            size, parts = (b - a) * self.width * 8, []
+            while size:  # one call may give less than was asked for
+                parts.append(os.pread(self.file, size, b * self.width * 8 - size))
+                size -= len(parts[-1])
+            return np.frombuffer(parts[0] if len(parts) == 1 else b"".join(parts), np.int64).reshape(-1, self.width)
         if len(self.held) > 1:
             self.held = [np.concatenate(self.held)]
         return self.held[0][a:b]
@@ -95,6 +103,9 @@ class Numbers:
 
     def close(self) -> None:
         self.held, self.rows, self.written, self.waiting = [], 0, 0, 0
+        if self.file is not None:
+            os.close(self.file)
+            self.file = None
         self.path.unlink(missing_ok=True)
 
 
@@ -250,6 +261,32 @@ class _Induction:
         r = rows[at]
         return np.stack([r[:, 2], r[:, 1] - 1, r[:, 3], r[:, 4], np.where(r[:, 4] == _NONE, _NONE, _UNKNOWN), np.full(len(at), step), pre, post], axis=1)
 
+    def _chain(self, row: np.ndarray, run: int, above: int) -> tuple[np.ndarray, np.ndarray]:
+        """All suffixes of a block that follow from one of them, and their runs."""
+        symbol, at, found, after = int(row[0]), int(row[1]), [], _NONE
+        while True:
+            before = self.text.read(at - 1024, at)[::-1, 0]
+            if self.turned:
+                before = self.top - before
+            ends = np.flatnonzero((before < np.append(symbol, before[:-1])) | (before >= above))
+            n = int(ends[0]) if len(ends) else len(before)
+            found.append(before[:n])
+            if n < len(before):
+                after = int(before[n])
+                break
+            at -= n
+            if not n or not at:
+                break
+            symbol = int(before[-1])
+        symbols = np.concatenate(found)
+        n, k = len(symbols), np.arange(len(symbols))
+        rows = np.full((n, 5), _UNKNOWN)
+        rows[:, 0], rows[:, 1] = symbols, row[1] - 1 - k
+        rows[:, 2] = np.append(symbols[1:], after)
+        new = symbols != np.append(row[0], symbols[:-1])
+        since = np.maximum.accumulate(np.where(new, k, -1))
+        return rows, np.where(since >= 0, k - since + 1, run + k + 1)
+
     def _ordered(self, fresh: np.ndarray, seeds: np.ndarray, above: int) -> tuple[np.ndarray, np.ndarray]:
         """All suffixes of a block in order, as rows, and which are seeds."""
         fresh = fresh[np.argsort(fresh[:, 0], kind="stable")]
@@ -266,6 +303,16 @@ class _Induction:
             goes = np.flatnonzero((level[:, 2] >= level[:, 0] + strict) & (level[:, 2] < above))
             if not len(goes):
                 break
+            if len(goes) <= _FEW and len(rows) > _FEW:
+                # Few chains that go on for long are followed one by one.
+                base = size + len(level)
+                for k in goes.tolist():
+                    made, its_run = self._chain(level[k], int(run[k]), above)
+                    parents.append(np.append(size + k, np.arange(base, base + len(made) - 1)))
+                    rows.append(made)
+                    runs.append(its_run)
+                    base += len(made)
+                break
             up = level[goes]
             run = np.where(up[:, 2] == up[:, 0], run[goes] + 1, 1)
             level = np.stack([up[:, 2], up[:, 1] - 1, up[:, 3], up[:, 4], np.where(up[:, 4] == _NONE, _NONE, _UNKNOWN)], axis=1)

@@ -260,7 +260,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found_spans = written(dealt.mapInArrow(sort, "digest binary, key binary, first int, again boolean, first_word int, last_word int"), "stretch_spans")
     own = found_spans.filter("again IS NOT NULL").select("key", "again", "first_word", "last_word")
     shared = found_spans.filter("again IS NULL").select("digest", F.col("key").alias("own_key"), F.col("first").alias("own_first"), "first_word", "last_word")
-    others = pieces.select("digest", "key", "first").join(_sized(shared, shared.count()), "digest").filter("key != own_key OR first != own_first")
+    others = pieces.select("digest", "key", "first").join(shared, "digest").filter("key != own_key OR first != own_first")
     spans = own.unionByName(others.select("key", F.lit(True).alias("again"), (F.col("first") + F.col("first_word")).alias("first_word"), (F.col("first") + F.col("last_word")).alias("last_word")))
     by_text = spans.groupBy("key").agg(F.collect_list(F.struct("again", "first_word", "last_word")).alias("spans"))
 
