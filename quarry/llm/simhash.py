@@ -119,14 +119,17 @@ def _turned(s: np.ndarray, bits: int) -> np.ndarray:
 _FARTHEST = np.iinfo(np.int64).max
 
 
-def _merged(best: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """The nearest of both, as many as ``best`` has: keys of distance, node and whether it isn't expanded yet."""
-    every = np.concatenate([best, more], axis=1)
-    every.sort(axis=1)
-    # Of a node's keys the expanded one comes first.
-    every[:, 1:][(every[:, 1:] >> 1) == (every[:, :-1] >> 1)] = _FARTHEST
-    every.sort(axis=1)
-    return every[:, : best.shape[1]]
+def _merged(best: np.ndarray, columns: list[np.ndarray] | np.ndarray) -> np.ndarray:
+    """The nearest of both, as many as ``best`` has, in its place: keys of distance, node and whether it isn't expanded yet."""
+    for a in range(0, len(best), WALKERS):
+        more = columns[a : a + WALKERS] if isinstance(columns, np.ndarray) else np.stack([c[a : a + WALKERS] for c in columns], axis=1)
+        every = np.concatenate([best[a : a + WALKERS], more], axis=1)
+        every.sort(axis=1)
+        # Of a node's keys the expanded one comes first.
+        every[:, 1:][(every[:, 1:] >> 1) == (every[:, :-1] >> 1)] = _FARTHEST
+        every.sort(axis=1)
+        best[a : a + WALKERS] = every[:, : best.shape[1]]
+    return best
 
 
 class Graph:
@@ -173,11 +176,11 @@ class Graph:
                     column = np.full(n, _FARTHEST)
                     column[x] = far << 40 | y << 1 | 1
                     columns.append(column)
-                if len(columns) >= 48:
-                    best, columns = _merged(best, np.stack(columns, axis=1)), []
+                if len(columns) >= 32:
+                    best, columns = _merged(best, columns), []
             if t % 8 == 7 and self.met:
                 self.met = [np.unique(np.concatenate(self.met))]
-        return _merged(best, np.stack(columns, axis=1)) if columns else best
+        return _merged(best, columns) if columns else best
 
     def _enter(self, queries: np.ndarray, first: int, many: int) -> np.ndarray:
         """Keys of the nodes beside the queries' places in all orders."""
@@ -194,9 +197,9 @@ class Graph:
                 hit = np.flatnonzero(sound & (far <= self.radius))
                 self._note(node[hit], hit + first, many)
                 columns.append(np.where(sound, far << 40 | node << 1 | 1, _FARTHEST))
-                if len(columns) >= 48:
-                    best, columns = _merged(best, np.stack(columns, axis=1)), []
-        return _merged(best, np.stack(columns, axis=1)) if columns else best
+                if len(columns) >= 32:
+                    best, columns = _merged(best, columns), []
+        return _merged(best, columns) if columns else best
 
     def _walk(self, queries: np.ndarray, best: np.ndarray, first: int, many: int) -> None:
         """Best-first beam search from the nodes of ``best``; pairs within the radius are noted."""
@@ -297,6 +300,7 @@ def search(graph: np.ndarray, queries: np.ndarray | None, radius: int = RADIUS,
         if got >= recall or beam >= 4 * len(graph):
             made.met = own
             return made.pairs(queries), float(got), beam
+        del made, own
         beam *= 2
 
 
