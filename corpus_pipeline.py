@@ -2,7 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's documents. Extra columns pass through; the first four
-stages return the columns that they get.
+stages return the columns that they get. Columns named like ``token_ids`` are replaced by
+the last stage; spare names are used for what stages need in between.
+
+Null and empty texts are rejected by the quality rules. Null ids, sources and languages
+are values like any other. Of repeated rows one is left after near_duplicates, and mixture
+may repeat it. An empty table stays empty. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import encode_documents
-from quarry.llm.common import table, written
+from quarry.llm.common import cleared, mark, table, written
 from quarry.llm.mixing import mix_sources
 from quarry.llm.pii import redact
 from quarry.llm.quality import quality_filter
@@ -57,7 +62,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to the documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        cleared(since, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
