@@ -6,12 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.functions import readability as R
-from quarry.functions.text import _c, has_valid_sentence, let, ngrams, word_count, words
+from quarry.functions.text import _c, gram_hashes, has_valid_sentence, let, ngrams, word_count, words
 
 #: Whole words of a domain; parameters of the functions that use them.
-DOMAIN = "patient treatment disease clinical trial study therapy drug dose symptom diagnosis chronic acute risk adverse effect placebo efficacy".split()
-TECHNICAL = ["randomized", "placebo", "efficacy", "adverse event", "confidence interval", "p-value", "hazard ratio", "cohort", "baseline", "protocol", "rct", "rct", "ci"]
-STATISTICS = [r"\d+\.?\d*%", r"\b[pP]\s*[<>=]\s*0?\.\d+", r"\b\d+\s*(?:mg|ml|kg|mmHg)\b"]
+DOMAIN = "adverse clinical condition diagnosis disease dose drug efficacy medication patient placebo randomized safety study symptom therapy treatment trial".split()
+#: Terms whose presence marks a technical text.
+INDICATORS = "cohort,confidence interval,controlled,efficacy,hypothesis,intervention,methodology,multivariate,p-value,placebo,prospective,protocol,randomized,regression,retrospective,significant,statistically,trial".split(",")
+#: Terms that count wherever they occur, as substrings; one that is listed twice counts twice, patterns among them count as they are written.
+_TERMS = """95% ci;adverse event;biomarker;biomarkers;case-control;cohort study;confidence interval;contraindication;cox regression;cross-sectional;diagnosis;double-blind;ecg;eeg;effectiveness;
+efficacy;endpoint;epidemiology;etiology;hazard ratio;histology;incidence;indication;intervention;kaplan-meier;logistic regression;longitudinal;meta-analysis;methodology;morbidity;mortality;mri;
+multivariate;observational study;odds ratio;outcome measure;p <;p-value;pathogenesis;pathology;pathophysiology;pcr;placebo;placebo-controlled;prevalence;primary endpoint;prognosis;prospective;
+protocol;randomized controlled trial;rct;rct;regression;relative risk;retrospective;secondary endpoint;side effect;single-blind;statistically significant;survival analysis;systematic review;univariate"""
+STATISTICS = [r"\bp\s*[<>=]\s*0\.\d+", r"\d+%\s*ci", r"\d+\.\d+\s*\([^)]+\)"]
+TECHNICAL = [t.strip() for t in _TERMS.split(";")] + STATISTICS
+#: Letters, marks, digits and underscores, in the classes that Java and RE2 share.
+WORD = r"[\p{L}\p{M}\p{N}_]"
+EDGE = r"[^\p{L}\p{M}\p{N}_]"
 
 
 def acronyms(text: Column | str, most: int | None = None) -> Column:
@@ -29,22 +39,27 @@ def domain_share(text: Column | str, terms: list[str] = DOMAIN) -> Column:
 
 
 def term_count(text: Column | str, terms: list[str] = TECHNICAL) -> Column:
-    """Occurrences of terms longer than two letters, as substrings; a term listed twice counts twice."""
-    t, out = F.lower(_c(text)), F.lit(0).cast("bigint")
-    for term in terms:
-        if len(term) > 2:
-            out = out + F.floor((F.length(t) - F.length(F.replace(t, F.lit(term), F.lit("")))) / len(term)).cast("bigint")
-    return out
+    """Occurrences of terms longer than two letters, as substrings of the lower-case text; a term listed twice counts twice."""
+    known = F.array(*[F.lit(t) for t in terms if len(t) > 2])
+    hits = lambda t: F.aggregate(known, F.lit(0).cast("bigint"), lambda n, x: n + F.floor((F.length(t) - F.length(F.replace(t, x, F.lit("")))) / F.length(x)).cast("bigint"))
+    return let(F.coalesce(F.lower(_c(text)), F.lit("")), hits)
 
 
 def pattern_count(text: Column | str, patterns: list[str] = STATISTICS) -> Column:
+    """Matches of patterns in the lower-case text."""
     out = F.lit(0).cast("bigint")
     for p in patterns:
-        out = out + F.regexp_count(_c(text), F.lit(p))
+        out = out + F.regexp_count(F.lower(_c(text)), F.lit(p))
     return out
 
 
-def present_terms(text: Column | str, terms: list[str] = DOMAIN) -> Column:
+def densities(text: Column | str) -> dict[str, Column]:
+    """Acronyms, and shares of acronyms, numbers and domain words among the words; zeros without words."""
+    n = word_count(text)
+    return {"acronyms": F.coalesce(acronyms(text), F.lit(0).cast("bigint")), "acronym_share": _share(acronyms(text), n), "number_share": _share(numbers(text), n), "domain_share": domain_share(text)}
+
+
+def present_terms(text: Column | str, terms: list[str] = INDICATORS) -> Column:
     t = F.lower(_c(text))
     return F.size(F.filter(F.array(*map(F.lit, terms)), lambda x: F.contains(t, x))).cast("bigint")
 
@@ -54,9 +69,9 @@ def _share(a: Column, b: Column) -> Column:
 
 
 def repetition(tokens: Column, n: int) -> Column:
-    """Distinct n-grams that occur again, over all n-grams."""
+    """Distinct n-grams that occur again, over all n-grams; grams are compared by 64-bit hashes."""
     again = lambda g: F.filter(g, lambda x, i: (i > 0) & (x == F.get(g, i - 1)))
-    return let(F.array_sort(ngrams(tokens, n)), lambda g: _share(F.size(F.array_distinct(again(g))), F.size(g)))
+    return let(F.sort_array(gram_hashes(tokens, n)), lambda g: _share(F.size(F.array_distinct(again(g))), F.size(g)))
 
 
 def diversity(text: Column | str) -> dict[str, Column]:
@@ -69,31 +84,80 @@ def repeated_sentences(text: Column | str, longer_than: int = 10) -> Column:
     return (F.size(s) - F.size(F.array_distinct(s))).cast("bigint")
 
 
-def tier(text: Column | str, low: int = 140, high: int = 210) -> tuple[Column, Column]:
-    """(valid, tier) of a generated summary by length, repeated sentences, variety and trigrams."""
-    n, d, s = word_count(text), diversity(text), repeated_sentences(text)
-    faults = (~n.between(low, high)).cast("int") + (s > 0).cast("int") + (d["ttr"] < 0.4).cast("int") + (d["repeated_trigrams"] > 0.3).cast("int")
-    return faults == 0, F.when(faults == 0, "excellent").when(faults == 1, "good").when(faults == 2, "acceptable").otherwise("poor")
+def _dot_sentences(text: Column | str) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(_c(text), F.lit("")), "\\."), lambda x: F.lower(F.regexp_replace(x, "^\\s+|\\s+$", ""))), lambda x: x != "")
+
+
+def judged(text: Column | str, low: int = 140, high: int = 210, longer_than: int = 10) -> Column:
+    """Problems, warnings, whether a generated summary is valid, its tier, and its diversity, as a struct.
+
+    Problems, which make it invalid and poor, are a wrong length and each repetition of a
+    sentence longer than so many characters. Low variety and many repeated trigrams are but
+    warnings: none is excellent, one good, two acceptable.
+    """
+    n, s = word_count(text), _dot_sentences(text)
+    again = let(s, lambda a: F.filter(a, lambda x, i: (F.length(x) > longer_than) & (F.array_position(a, x) <= i)))
+    d = diversity(text)
+    length = F.when(n < low, F.concat(F.lit("Too short: "), n.cast("string"), F.lit(f" words (least {low})"))).when(n > high, F.concat(F.lit("Too long: "), n.cast("string"), F.lit(f" words (most {high})")))
+    said = F.transform(again, lambda x: F.concat(F.lit("Repeated sentence: "), F.substring(x, 1, 50)))
+    base = F.struct(
+        F.concat(F.array_compact(F.array(length)), said).alias("problems"), F.round(d["ttr"], 3).alias("ttr"), F.round(d["repeated_bigrams"], 3).alias("repeated_bigrams"),
+        F.round(d["repeated_trigrams"], 3).alias("repeated_trigrams"), d["unique_words"].alias("unique_words"),
+    )
+
+    def whole(x: Column) -> Column:
+        warnings = F.array_compact(F.array(F.when(x["ttr"] < 0.4, "Low variety"), F.when(x["repeated_trigrams"] > 0.3, "Similar phrases")))
+        valid = F.size(x["problems"]) == 0
+        rank = F.when(~valid, "poor").when(F.size(warnings) == 0, "excellent").when(F.size(warnings) == 1, "good").otherwise("acceptable")
+        return F.struct(valid.alias("valid"), rank.alias("tier"), x["problems"].alias("problems"), warnings.alias("warnings"), *[x[k].alias(k) for k in ("ttr", "repeated_bigrams", "repeated_trigrams", "unique_words")])
+
+    return let(base, whole)
+
+
+def generation_metrics(df, source: str, made: str):
+    """``df`` with the fifteen measures of a generated summary: lengths, tokens, cost, readability, compression, validity, tier, diversity, problems and warnings."""
+    from quarry.functions.text import cost_usd, tokens_per_word
+
+    out = R.counts(df.withColumn("_judged", judged(made)), made).withColumns({
+        "source_words": word_count(source), "summary_words": F.col("n_words"), "tokens_in": tokens_per_word(source), "tokens_out": tokens_per_word(made), "fre": R.flesch(), "fkg": R.kincaid(),
+    }).withColumns({"cost": cost_usd("tokens_in", "tokens_out"), "compression": _share(F.col("summary_words"), F.col("source_words"))})
+    j = F.col("_judged")
+    return out.select(
+        *df.columns, "source_words", "summary_words", "tokens_in", "tokens_out", "cost", "fre", "fkg", "compression", j["valid"].alias("valid"), j["tier"].alias("tier"), j["ttr"].alias("ttr"),
+        j["repeated_bigrams"].alias("repeated_bigrams"), j["repeated_trigrams"].alias("repeated_trigrams"), F.array_join(j["problems"], "; ").alias("problems"), F.array_join(j["warnings"], "; ").alias("warnings"),
+    )
+
+
+#: Signs of bad scans by name: pairs and triples of fragments, runs of foreign signs, long numbers.
+SCANS = {
+    "OCR_fragments": rf"(^|{EDGE}){WORD}{{1,2}}\s+{WORD}{{1,2}}($|{EDGE})",
+    "OCR_non_ascii": r"[^\x00-\x7F]{5,}",
+    "OCR_long_number": rf"(^|{EDGE})[0-9]{{10,}}($|{EDGE})",
+    "OCR_fragmented": rf"(^|{EDGE}){WORD}{{1,2}}\s+{WORD}{{1,2}}\s+{WORD}{{1,2}}($|{EDGE})",
+}
 
 
 def ocr_issues(text: Column | str) -> Column:
+    """Names of the signs of a bad scan, and of more than two per cent of special signs."""
     t = _c(text)
-    special = F.regexp_count(t, F.lit(f"[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s.,;:!?()'\"-]"))
-    return F.array_compact(F.array(
-        F.when(F.regexp_count(t, F.lit("[|]{2,}")) > 0, F.lit("OCR_pipes")), F.when(F.regexp_count(t, F.lit("[0-9][A-Za-z][0-9]")) > 0, F.lit("OCR_mixed")),
-        F.when(F.regexp_count(t, F.lit("[bcdfghjklmnpqrstvwxz]{7,}")) > 0, F.lit("OCR_consonants")), F.when(special > F.length(t) * 0.02, F.lit("OCR_special")),
-    ))
+    special = F.regexp_count(t, F.lit("[^\\p{L}\\p{M}\\p{N}_\\s.,;:!?()'\"/-]"))
+    return F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(n)) for n, p in SCANS.items()], F.when(special > F.length(t) * 0.02, F.lit("OCR_special"))))
+
 
+def quality_issues(text: Column | str, lang: Column | str, wanted: str = "en", chars=(100, 5000), counts=(15, 800), confidence: Column | None = None, least_confidence: float = 0.9) -> Column:
+    """Names of all faults of the text without white space around it; see ``is_valid`` for those that reject.
 
-def quality_issues(text: Column | str, lang: Column | str, wanted: str = "en", chars=(100, 5000), counts=(15, 800)) -> Column:
-    """Names of all faults; see ``is_valid`` for those that reject."""
-    t, n = _c(text), word_count(text)
-    blank = t.isNull() | ~t.rlike("\\S")
+    confidence: of the language; None: 0.95 for the wanted one and 0.5 for others.
+    """
+    t = F.regexp_replace(_c(text), "^\\s+|\\s+$", "")
+    n, told = word_count(t), _c(lang)
+    sure = confidence if confidence is not None else F.when(told == wanted, F.lit(0.95)).otherwise(F.lit(0.5))
     own = F.array_compact(F.array(
         F.when(F.length(t) < chars[0], F.lit("Too_short")), F.when(F.length(t) > chars[1], F.lit("Too_long")), F.when(n < counts[0], F.lit("Too_few_words")),
-        F.when(n > counts[1], F.lit("Too_many_words")), F.when(_c(lang) != wanted, F.lit("Wrong_language")), F.when(~has_valid_sentence(t), F.lit("No_valid_sentence")),
+        F.when(n > counts[1], F.lit("Too_many_words")), F.when(told != wanted, F.lit("Wrong_language")), F.when(sure < least_confidence, F.lit("Low_confidence")),
     ))
-    return F.when(blank, F.array(F.lit("Empty"))).otherwise(F.concat(own, ocr_issues(t)))
+    last = F.array_compact(F.array(F.when(~has_valid_sentence(t), F.lit("No_valid_sentence"))))
+    return F.when(t.isNull() | (t == ""), F.array(F.lit("Empty"))).otherwise(F.concat(own, ocr_issues(t), last))
 
 
 def is_valid(issues: Column) -> Column:
@@ -115,22 +179,42 @@ def sum_case(steps) -> Column:
 
 
 def classified(df, text: str = "text"):
-    """``df`` with readability, the heuristic's confidence, is_plain and its reasons."""
-    out = R.counts(df, text).withColumns({"fre": R.flesch(), "fkg": R.kincaid(), "avg_word_length": R.word_length(), "technical": term_count(text)})
-    density = F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(F.lit(100.0) * F.col("technical") / F.col("n_words"))
-    out = out.withColumn("density", density).withColumn("confidence", confidence(F.col("fre"), F.col("fkg"), F.col("avg_word_length"), F.col("density"), F.length(text)))
-    return out.withColumn("is_plain", F.col("confidence") >= 0.5).withColumn("reasons", reasons()).select(*df.columns, "fre", "fkg", "avg_word_length", "technical", "density", "confidence", "is_plain", "reasons", "n_words", "n_sentences")
+    """``df`` with readability, the heuristic's confidence, is_plain and its reasons; technical counts the indicators present."""
+    out = R.counts(df, text).withColumns({"fre": R.flesch(), "fkg": R.kincaid(), "avg_word_length": R.word_length(), "technical": present_terms(text)})
+    density = F.lit(100.0) * F.col("technical") / F.greatest(F.lit(1), F.col("n_words"))
+    long_enough = F.length(F.regexp_replace(text, "^\\s+|\\s+$", ""))
+    out = out.withColumn("density", density).withColumn("confidence", confidence(F.col("fre"), F.col("fkg"), F.col("avg_word_length"), F.col("density"), long_enough))
+    out = out.withColumn("is_plain", F.col("confidence") >= 0.5).withColumn("reasons", F.when(long_enough >= 50, reasons()).otherwise("too short to classify"))
+    return out.select(*df.columns, "fre", "fkg", "avg_word_length", "technical", "density", "confidence", "is_plain", "reasons", "n_words", "n_sentences", "n_long")
 
 
 def reasons() -> Column:
+    """A sentence for each measure, banded, with its figure."""
+    figure = lambda x: F.format_string("%.1f", x)
     return F.concat_ws(
-        "; ", F.when(F.col("fre") >= 60, "easy to read").when(F.col("fre") >= 50, "fairly easy to read").otherwise("hard to read"),
-        F.when(F.col("fkg") <= 8, "low grade").when(F.col("fkg") <= 12, "middle grade").otherwise("high grade"),
+        "; ",
+        F.concat(F.when(F.col("fre") >= 60, "easy to read").when(F.col("fre") >= 50, "moderately readable").when(F.col("fre") >= 30, "difficult to read").when(F.col("fre") >= 0, "very difficult to read").otherwise("extremely difficult to read"), F.lit(" ("), figure(F.col("fre")), F.lit(")")),
+        F.concat(F.when(F.col("fkg") <= 8, "easy grade").when(F.col("fkg") <= 12, "moderate grade").otherwise("difficult grade"), F.lit(" ("), figure(F.col("fkg")), F.lit(")")),
         F.when(F.col("avg_word_length") <= 4.5, "short words").when(F.col("avg_word_length") <= 5.5, "medium words").otherwise("long words"),
-        F.when(F.col("density") < 2, "few terms").when(F.col("density") < 5, "some terms").otherwise("many terms"),
+        F.concat(F.when(F.col("density") < 2, "few technical terms").when(F.col("density") < 5, "some technical terms").otherwise("many technical terms"), F.lit(" ("), F.col("technical").cast("string"), F.lit(")")),
     )
 
 
+def model_or_heuristic(df, text: str = "text", probability: str | None = None):
+    """``df`` classified by a model's probability where there is one, else by the heuristic: is_plain, confidence, method, reasons."""
+    out = classified(df, text)
+    if not probability:
+        return out.withColumn("method", F.lit("heuristic"))
+    p = F.col(probability)
+    sure = F.when(p >= 0.7, "high").when(p >= 0.5, "moderate").otherwise("low")
+    enough = p.isNotNull() & (F.length(F.trim(text)) >= 50)
+    said = F.concat(F.format_string("%.0f", p * 100), F.lit("% plain ("), sure, F.lit(" confidence); "), F.col("reasons"))
+    return out.withColumns({
+        "method": F.when(enough, "model").otherwise("heuristic"), "reasons": F.when(enough, said).otherwise(F.col("reasons")),
+        "is_plain": F.when(enough, p >= 0.5).otherwise(F.col("is_plain")), "confidence": F.when(enough, p).otherwise(F.col("confidence")),
+    })
+
+
 def bare_words(text: Column | str) -> Column:
     return F.array_distinct(words(F.regexp_replace(F.lower(_c(text)), f"[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]", "")))
 
@@ -150,7 +234,26 @@ def ngram_overlap(a: Column | str, b: Column | str, n: int = 2) -> Column:
     return jaccard(x, y)
 
 
+def _banded(value: Column, steps) -> Column:
+    out = F.when(steps[0][0](value), F.lit(steps[0][1]))
+    for test, name in steps[1:]:
+        out = out.when(test(value), F.lit(name))
+    return out
+
+
 def fre_band(fre: Column) -> Column:
-    return F.when(fre >= 70, "easy").when(fre >= 60, "plain").when(fre >= 50, "fairly hard").otherwise("hard")
+    """Below 50, below 60, the target of 60 to 70, above."""
+    return _banded(fre, [(lambda x: x < 50, "very hard"), (lambda x: x < 60, "hard"), (lambda x: x <= 70, "target"), (lambda x: x > 70, "easy")])
+
+
+def fkg_band(fkg: Column) -> Column:
+    return _banded(fkg, [(lambda x: x < 7, "simple"), (lambda x: x <= 9, "target"), (lambda x: x > 9, "complex")])
+
+
+def ttr_band(ttr: Column) -> Column:
+    return _banded(ttr, [(lambda x: x > 0.6, "excellent"), (lambda x: x >= 0.5, "good"), (lambda x: x < 0.5, "low")])
 
 
+def reading_tier(fre: Column, fkg: Column) -> Column:
+    """Excellent at both targets, good near them, else in need of work."""
+    return F.when(fre.between(60, 70) & fkg.between(7, 9), "excellent").when(fre.between(55, 75) & (fkg <= 10), "good").otherwise("needs work")

@@ -21,18 +21,29 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
-def counts(df, text: str = "text", first_words: int | None = None):
-    """``df`` with arrays and counts that the formulas share: _w, n_words, n_sentences, n_syllables, n_chars_words, n_complex, n_long."""
-    df = df.withColumn("_w", words(text)).withColumn("_y", F.transform(F.slice("_w", 1, first_words) if first_words else F.col("_w"), syllables))
-    return df.select(
-        *[c for c in df.columns if c != "_y"],
-        F.size("_w").cast("bigint").alias("n_words"),
-        F.greatest(F.lit(1), F.size(sentences(text))).cast("bigint").alias("n_sentences"),
-        total(F.col("_y")).alias("n_syllables"),
-        total(F.transform("_w", F.length)).alias("n_letters"),
-        F.size(F.filter("_y", lambda y: y >= 3)).cast("bigint").alias("n_complex"),
-        F.size(F.filter("_w", lambda w: F.length(w) > 10)).cast("bigint").alias("n_long"),
-    )
+#: Words by syllables, as patterns over lower-case text: vowel groups, words that end in a silent e, words
+#: without a vowel and with none but such an e, words of three groups and more, and those of three with a silent e.
+_VOWELS, _SILENT = "[aeiouy]+", "[^aeiouy\\s]e[^a-z\\s]*(?!\\S)"
+_NONE, _ONLY = "(?<!\\S)[^aeiouy\\s]+(?!\\S)", "(?<!\\S)[^aeiouy\\s]+e[^a-z\\s]*(?!\\S)"
+_THREE = "(?<!\\S)[^aeiouy\\s]*(?:[aeiouy]+[^aeiouy\\s]+){2}[aeiouy]\\S*"
+_THREE_SILENT = "(?<!\\S)[^aeiouy\\s]*(?:[aeiouy]+[^aeiouy\\s]+){2}e[^a-z\\s]*(?!\\S)"
+
+
+def counts(df, text: str = "text", first_words: int | None = None, keep_words: bool = False):
+    """``df`` with counts that the formulas share: n_words, n_sentences, n_syllables, n_letters, n_complex, n_long, and _w if words are kept.
+
+    Counted by patterns over the whole text, so that no array of words is made; first_words bounds the words whose syllables count.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    of = lambda x, pattern: F.regexp_count(x, F.lit(pattern)).cast("bigint")
+    base = df.withColumns({"_low": F.lower(F.array_join(F.slice(words(text), 1, first_words), " ") if first_words else t), **({"_w": words(text)} if keep_words else {})})
+    low = F.col("_low")
+    made = base.withColumns({
+        "n_words": of(t, "\\S+"), "n_sentences": F.greatest(F.lit(1).cast("bigint"), of(t, "[^\\s.!?][^.!?]*")),
+        "n_syllables": of(low, _VOWELS) - of(low, _SILENT) + of(low, _NONE) + of(low, _ONLY), "n_letters": of(t, "\\S"),
+        "n_complex": of(low, _THREE) - of(low, _THREE_SILENT), "n_long": of(t, "\\S{11,}"),
+    })
+    return made.drop("_low")
 
 
 def _per(a: Column | str, b: Column | str) -> Column:
@@ -84,4 +95,4 @@ def word_length() -> Column:
 def battery(df, text: str = "text"):
     """``df`` with all formulas."""
     made = {"flesch": flesch(), "kincaid": kincaid(), "fog": fog(), "ari": ari(), "coleman_liau": coleman_liau(), "smog": smog(), "linsear": linsear(), "dale_chall": dale_chall()}
-    return counts(df, text).select(*df.columns, *[v.alias(k) for k, v in made.items()])
+    return counts(df, text, keep_words=True).select(*df.columns, *[v.alias(k) for k, v in made.items()])

@@ -8,7 +8,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PROMPT = "simplify: "
+#: Prompts by name; the first is the default.
+PROMPTS = {
+    "standard": "simplify medical text into plain language: ",
+    "concise": "simplify: ",
+    "detailed": "translate this biomedical text into plain language for patients: ",
+    "instruction": "Rewrite this medical text in plain language, avoiding jargon: ",
+}
+PROMPT = PROMPTS["standard"]
 
 
 def _c(x: Column | str) -> Column:
@@ -103,8 +110,23 @@ def cost_usd(tokens_in: Column | str, tokens_out: Column | str, price_in: float
     return _c(tokens_in) / F.lit(1e6) * F.lit(price_in) + _c(tokens_out) / F.lit(1e6) * F.lit(price_out)
 
 
-def with_prompt(text: Column | str, prompt: str = PROMPT) -> Column:
-    return F.concat(F.lit(prompt), _c(text))
+def with_prompt(text: Column | str, prompt: str | None = None) -> Column:
+    """The text after a prompt: one of PROMPTS by name, any other string, or the default."""
+    return F.concat(F.lit(PROMPTS.get(prompt, prompt) if prompt is not None else PROMPT), _c(text))
+
+
+def plain_paragraphs(text: Column | str) -> Column:
+    """Parts between two line feeds that aren't blank; the text if there are none."""
+    t = F.coalesce(_c(text), F.lit(""))
+    parts = F.filter(F.transform(F.split(t, "\n\n"), lambda p: F.regexp_replace(p, "^\\s+|\\s+$", "")), lambda p: p != "")
+    return F.when(F.size(parts) == 0, F.array(t)).otherwise(parts)
+
+
+def word_shape(text: Column | str) -> Column:
+    """(words, sentences, mean word length) of a text, zeros for none."""
+    n = word_count(text)
+    letters = F.regexp_count(_c(text), F.lit("\\S"))
+    return F.struct(n.alias("words"), F.size(sentences(text)).cast("bigint").alias("sentences"), F.when(n == 0, F.lit(0.0)).otherwise(letters.cast("double") / n).alias("word_length"))
 
 
 def compression(source: Column | str, made: Column | str) -> Column:
@@ -127,6 +149,12 @@ def content_key(original: Column | str, summary: Column | str) -> Column:
     return F.sha2(F.concat_ws("||", F.coalesce(_c(original), F.lit("")), F.coalesce(_c(summary), F.lit(""))), 256)
 
 
+def gram_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of runs of n tokens, for counts where strings would only be compared."""
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(*[F.get(t, i - 1 + k) for k in range(n)]))
+    return let(tokens, lambda t: F.when(F.size(t) >= n, runs(t)).otherwise(F.array().cast("array<bigint>")))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens, joined by blanks."""
     none = F.array().cast("array<string>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -131,3 +132,59 @@ def merged(df: DataFrame, keys: list[str], index: str, chunk: str, first_only: b
         return df.groupBy(*keys).agg(F.min_by(chunk, index).alias("text"))
     rows = F.array_sort(F.collect_list(F.struct(index, chunk)))
     return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r[chunk]), " ").alias("text"))
+
+
+def map_chunks(df: DataFrame, text_col: str, f: Callable[[Column], Column], out: str = "processed", size: int = 400, overlap: int = 50) -> DataFrame:
+    """``df`` with the results of a Column function over each window of the text, joined by blanks."""
+    windows = F.transform(token_windows(text_col, size, overlap), lambda w: F.array_join(w, " "))
+    return df.withColumn(out, F.array_join(F.transform(windows, f), " "))
+
+
+def expand_same_target(df: DataFrame, source: str, target: str, prompt: str = "", most: int = 512, size: int = 400, overlap: int = 50) -> DataFrame:
+    """One row where prompt and source fit into ``most`` words, else a row for each window, all with the same target: input, target, chunk_id, total_chunks."""
+    fits = F.size(words(F.concat(F.lit(prompt), F.coalesce(F.col(source), F.lit(""))))) <= most
+    parts = F.when(fits, F.array(F.coalesce(F.col(source), F.lit("")))).otherwise(F.transform(token_windows(source, size, overlap), lambda w: F.array_join(w, " ")))
+    kept = [c for c in df.columns if c not in (source, target)]
+    made = df.select(*kept, F.col(target).alias("target"), parts.alias("_p"))
+    return made.select(*kept, "target", F.size("_p").alias("total_chunks"), F.posexplode("_p").alias("chunk_id", "input"))
+
+
+def expand_mixed(df: DataFrame, source: str, target: str, most: int = 400, overlap: int = 50) -> DataFrame:
+    """Pairs whose source fits stay as they are; longer ones give a row for each packed chunk, with the target's chunk of that number (or the last) where the target exceeds twice ``most`` words."""
+
+    @F.pandas_udf("array<string>")
+    def packed(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: pack(t or "", most) or [t or ""])
+
+    whole = lambda c: F.array(F.coalesce(F.col(c), F.lit("")))
+    n = lambda c: F.size(words(c))
+    made = df.withColumns({"_a": F.when(n(source) <= most, whole(source)).otherwise(packed(F.col(source))), "_b": F.when((n(source) > most) & (n(target) > 2 * most), packed(F.col(target))).otherwise(whole(target))})
+    kept = [c for c in df.columns if c not in (source, target)]
+    rows = made.select(*kept, "_b", (F.size("_a") > 1).alias("is_chunk"), F.size("_a").alias("total_chunks"), F.posexplode("_a").alias("chunk_idx", source))
+    return rows.withColumn(target, F.element_at("_b", F.least(F.col("chunk_idx") + 1, F.size("_b")))).drop("_b")
+
+
+def expand_prompted(df: DataFrame, source: str, prompt: str, most: int = 512, spare: int = 15, overlap: int = 50) -> DataFrame:
+    """A row for each chunk of whole sentences that fits beside the prompt; a sentence that is longer is cut: original_idx is the caller's, chunk_id, chunk."""
+    room = max(1, most - len(prompt.split()) - spare)
+    out = chunked(df, source, "semantic", most=room, overlap=overlap)
+    return out.withColumn("chunk", F.array_join(F.slice(words("chunk"), 1, room), " "))
+
+
+def with_originals(chunks: DataFrame, originals: DataFrame, index: str, text: str, out: str = "original") -> DataFrame:
+    """``chunks`` with the text of the document that each came from, "" where there is none."""
+    known = originals.select(F.col(index).alias("_i"), F.col(text).alias("_t"))
+    return chunks.join(known, F.col(index) == F.col("_i"), "left").withColumn(out, F.coalesce("_t", F.lit(""))).drop("_i", "_t")
+
+
+def token_ids(tokens: Column, vocabulary: int = 32_000) -> Column:
+    """Default tokenizer: an id for each word from its MD5, 0 being the padding."""
+    return F.transform(tokens, lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("bigint") % F.lit(vocabulary - 1) + 1).cast("int"))
+
+
+def tokenised(df: DataFrame, source: str, target: str, prompt: str = "", most_source: int = 512, most_target: int = 256, encode: Callable[[Column], Column] = token_ids) -> DataFrame:
+    """``df`` with input_ids, attention_mask and labels of fixed lengths; padding is 0, and -100 in labels."""
+    ids = lambda t, most: F.slice(encode(words(t)), 1, most)
+    pad = lambda a, most, value: let(a, lambda x: F.concat(x, F.array_repeat(F.lit(value), most - F.size(x))))
+    s, t = ids(F.concat(F.lit(prompt), F.coalesce(F.col(source), F.lit(""))), most_source), ids(F.col(target), most_target)
+    return df.withColumns({"input_ids": pad(s, most_source, 0), "attention_mask": pad(F.transform(s, lambda x: F.lit(1)), most_source, 0), "labels": pad(t, most_target, -100)})

@@ -4,52 +4,65 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import lexical as L
 from quarry.functions import readability as R
-from quarry.operators.splits import hash_order
+from quarry.operators.splits import ranked
 
 FEATURES = ["fre", "fkg", "gunning_fog", "avg_word_length", "words_per_sentence", "complex_share", "syllables_per_word", "technical", "technical_density", "patterns", "acronyms"]
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the eleven features, in their fixed order."""
-    out = R.counts(df, text, first_words=100)
+    """``df`` with the eleven features, in their fixed order; syllables are those of the first hundred words."""
+    out = R.counts(df, text, first_words=100).withColumns({"_few": F.col("n_syllables"), "_terms_n": L.term_count(text)}).drop("n_syllables", "n_complex", "n_words", "n_sentences", "n_letters", "n_long")
+    out = R.counts(out, text)
     n = F.greatest(F.lit(1), F.least(F.lit(100), F.col("n_words"))).cast("double")
-    short = F.length(text) < 10
+    short = F.length(F.regexp_replace(text, "^\\s+|\\s+$", "")) < 10
     made = {
         "fre": R.flesch(), "fkg": R.kincaid(), "gunning_fog": R.fog(), "avg_word_length": R.word_length(), "words_per_sentence": F.col("n_words") / F.col("n_sentences"),
-        "complex_share": F.col("n_complex") / n, "syllables_per_word": F.col("n_syllables") / n, "technical": L.term_count(text).cast("double"),
-        "technical_density": F.lit(100.0) * L.term_count(text) / F.greatest(F.lit(1), F.col("n_words")), "patterns": L.pattern_count(text).cast("double"), "acronyms": L.acronyms(text, 5).cast("double"),
+        "complex_share": F.col("n_long") / F.greatest(F.lit(1), F.col("n_words")), "syllables_per_word": F.col("_few") / n, "technical": F.col("_terms_n").cast("double"),
+        "technical_density": F.lit(100.0) * F.col("_terms_n") / F.greatest(F.lit(1), F.col("n_words")), "patterns": L.pattern_count(text).cast("double"), "acronyms": L.acronyms(text, 5).cast("double"),
     }
-    blank = {"fkg": 20.0, "gunning_fog": 20.0}
-    return out.select(*df.columns, *[F.when(short, F.lit(blank.get(k, 0.0))).otherwise(v).alias(k) for k, v in made.items()])
+    blank = {"fre": 0.0, "fkg": 20.0, "gunning_fog": 20.0, "avg_word_length": 0.0, "words_per_sentence": 0.0, "complex_share": 0.0, "syllables_per_word": 0.0}
+    return out.select(*df.columns, *[(F.when(short, F.lit(blank[k])).otherwise(v) if k in blank else v).alias(k) for k, v in made.items()])
 
 
-def pipeline(text: str = "text", label: str = "label", vocabulary: int = 10_000, min_df: int = 2, max_df: float = 0.95, reg: float = 1e-3, iterations: int = 50) -> Pipeline:
-    """Stages from text and features to ``probability``; class weights are in ``weight``."""
-    stages = [
+def _terms(text: str, vocabulary: int, min_df: int, max_df: float) -> list:
+    return [
         RegexTokenizer(inputCol=text, outputCol="_t", pattern="[^\\p{L}\\p{N}]+", minTokenLength=2), StopWordsRemover(inputCol="_t", outputCol="_u"), NGram(inputCol="_u", outputCol="_b", n=2),
-        SQLTransformer(statement="SELECT *, concat(_u, _b) AS _terms FROM __THIS__"), CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=vocabulary, minDF=min_df, maxDF=max_df),
-        IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_norm"), VectorAssembler(inputCols=["_norm", *FEATURES], outputCol="_features", handleInvalid="keep"),
-        LogisticRegression(featuresCol="_features", labelCol=label, weightCol="weight", maxIter=iterations, regParam=reg),
+        SQLTransformer(statement="SELECT *, concat(_u, _b) AS _terms FROM __THIS__"), CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=vocabulary, minDF=min_df, maxDF=max_df), IDF(inputCol="_tf", outputCol="_idf"),
     ]
-    return Pipeline(stages=stages)
 
 
 def weighted(df: DataFrame, label: str = "label") -> DataFrame:
-    """``df`` with weights that balance the classes."""
-    per = F.count(F.lit(1)).over(Window.partitionBy(label))
-    total = df.filter(F.col(label).isNotNull()).agg(F.count(F.lit(1)).alias("_n"))
-    return df.crossJoin(F.broadcast(total)).withColumn("weight", F.col("_n") / (F.lit(2.0) * per)).drop("_n")  # one row
-
-
-def fit(df: DataFrame, text: str = "text", label: str = "label", **options) -> PipelineModel:
-    return pipeline(text, label, **options).fit(weighted(features(df.filter(F.col(label).isNotNull()), text), label))
+    """``df`` with weights that balance the classes: rows over classes times the class's rows."""
+    sizes = df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_own"))
+    whole = sizes.agg(F.sum("_own").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    weights = sizes.crossJoin(F.broadcast(whole)).select("_label", (F.col("_n") / (F.col("_k") * F.col("_own"))).alias("weight"))  # one row
+    return df.join(weights, F.col(label) == F.col("_label"), "left").drop("_label")
+
+
+def fit(df: DataFrame, text: str = "text", label: str = "label", vocabulary: int = 10_000, min_df: int = 2, max_df: float = 0.95, c: float = 1.0, iterations: int = 200) -> PipelineModel:
+    """Stages from text and features to ``probability``.
+
+    Term weights are tf * (idf + 1), of length 1; the regression has an L2 penalty of 1 / (c * sum of weights) on coefficients as they are.
+    """
+    ready = weighted(features(df.filter(F.col(label).isNotNull()), text), label).persist()  # read by each stage in turn; lost parts are made again
+    terms = Pipeline(stages=_terms(text, vocabulary, min_df, max_df)).fit(ready)
+    idf = terms.stages[-1].idf
+    plus_one = ElementwiseProduct(inputCol="_tf", outputCol="_tfidf", scalingVec=Vectors.dense([x + 1.0 for x in idf]))
+    rest = [plus_one, Normalizer(inputCol="_tfidf", outputCol="_norm"), VectorAssembler(inputCols=["_norm", *FEATURES], outputCol="_features", handleInvalid="keep")]
+    made = PipelineModel([*terms.stages[:-1], *rest])
+    total = ready.agg(F.sum("weight")).first()[0] or 1.0
+    regression = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="weight", maxIter=iterations, tol=1e-4, regParam=1.0 / (c * total), standardization=False)
+    model = PipelineModel([*made.stages, regression.fit(made.transform(ready))])
+    ready.unpersist()
+    return model
 
 
 def score(model: PipelineModel, df: DataFrame, text: str = "text", out: str = "p_plain") -> DataFrame:
@@ -66,7 +79,7 @@ def gate(scored: DataFrame, text: str = "text", p: str = "p_plain", least: float
 
 def folds(df: DataFrame, id_col: str, label: str, k: int = 5, seed: str = "42") -> DataFrame:
     """``df`` with ``fold``: ranks by hash within each label, modulo k."""
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(hash_order(id_col, seed), id_col)) - 1) % k)
+    return ranked(df, id_col, [label], seed).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_n")
 
 
 def cross_validate(df: DataFrame, id_col: str, text: str, label: str, k: int = 5, **options) -> DataFrame:

@@ -23,17 +23,17 @@ def truncation(df: DataFrame, tokens: str, limit: int) -> DataFrame:
     lost = F.when(cut, t - limit)
     return df.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(cut).alias("truncated"), F.round(F.lit(100.0) * F.count_if(cut) / F.count(F.lit(1)), 6).alias("truncated_pct"),
-        F.round(F.coalesce(F.avg(lost), F.lit(0.0)), 6).alias("mean_lost"), F.coalesce(F.sum(lost), F.lit(0)).alias("total_lost"), F.round(F.avg(F.coalesce(lost, F.lit(0))), 6).alias("mean_lost_all"),
-    ).withColumn("advice", F.when(F.col("truncated_pct") > 50, "chunk").when(F.col("truncated_pct") > 20, "consider chunking").otherwise("fine"))
+        F.round(F.coalesce(F.avg(lost), F.lit(0.0)), 6).alias("mean_lost"), F.round(F.coalesce(F.avg(F.lit(100.0) * lost / t), F.lit(0.0)), 6).alias("mean_lost_pct"), F.coalesce(F.sum(lost), F.lit(0)).alias("total_lost"), F.round(F.avg(F.coalesce(lost, F.lit(0))), 6).alias("mean_lost_all"),
+    ).withColumns({
+        "advice": F.when(F.col("truncated_pct") > 50, "chunk").when(F.col("truncated_pct") > 20, "consider chunking").otherwise("fine"), "loss": F.when(F.col("mean_lost") > 100, "much lost").when(F.col("mean_lost") > 50, "some lost").otherwise("little lost"),
+    })
 
 
 def grouped(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
-    """Mean and median of a value for each value of each group column, independently."""
-    flat = None
-    for g in groups:
-        part = df.groupBy(F.col(g).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.median(value), 6).alias("median")).select(F.lit(g).alias("grouping"), "value", "n", "mean", "median")
-        flat = part if flat is None else flat.unionByName(part)
-    return flat
+    """Mean and median of a value for each value of each group column, independently, in one scan."""
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("value")) for g in groups]))
+    flat = df.select(each.alias("_g"), F.col(value).alias("_v")).select("_g.grouping", "_g.value", "_v")
+    return flat.groupBy("grouping", "value").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_v"), 6).alias("mean"), F.round(F.median("_v"), 6).alias("median"))
 
 
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -54,11 +54,21 @@ def class_metrics(df: DataFrame, label: str, pred: str, by: list[str] | None = N
     )
 
 
-def _rank_sum(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    """n1, n0 and the rank sum of positives, ties sharing ranks: ranks come from counts by score, so ties cost one row."""
+def _rank_sum(df: DataFrame, score: str, positive: Column, parts: int = 256) -> DataFrame:
+    """n1, n0 and the rank sum of positives, ties sharing ranks: ranks come from counts by score, so ties cost one row.
+
+    Scores are put in order within ranges, whose bounds are approximate quantiles; the ranges'
+    counts (at most ``parts``) give the ranks that come before.
+    """
     by = df.filter(F.col(score).isNotNull() & positive.isNotNull()).groupBy(score).agg(F.count_if(positive).alias("p"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.withColumn("rank", before + (F.col("n") + 1) / F.lit(2.0)).agg(F.sum("p").alias("n1"), F.sum(F.expr("n - p")).alias("n0"), F.sum(F.col("p") * F.col("rank")).alias("r1"))
+    cuts = by.agg(F.percentile_approx(score, [k / parts for k in range(1, parts)], 10_000).alias("_cuts"))
+    placed = by.crossJoin(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts")  # one row
+    sizes = placed.groupBy("_part").agg(F.sum("n").alias("n")).agg(F.collect_list(F.struct("_part", "n")).alias("_sizes"))
+    within = Window.partitionBy("_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.aggregate(F.filter("_sizes", lambda x: x["_part"] < F.col("_part")), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    before = F.coalesce(F.sum("n").over(within), F.lit(0))
+    ranks = placed.withColumn("_before", before).crossJoin(F.broadcast(sizes)).withColumn("rank", F.col("_before") + earlier + (F.col("n") + 1) / F.lit(2.0))  # one row
+    return ranks.agg(F.sum("p").alias("n1"), F.sum(F.expr("n - p")).alias("n0"), F.sum(F.col("p") * F.col("rank")).alias("r1"))
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -77,12 +87,13 @@ def two_sided_p(u: float, n1: int, n0: int) -> float:
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, min_df: int = 2, max_df: float = 0.95, features: int = 10_000) -> DataFrame:
     """(id, term, tf, weight): smoothed idf plus one, rows of length 1; the most frequent terms within the bounds."""
-    terms = df.select(id_col, F.explode(F.filter(F.split(F.lower(text_col), "[^a-z0-9]+"), lambda w: F.length(w) > 1)).alias("term"))
+    # Dealt out by id once; counts and norms of a document then need no shuffle, and the kept terms are bounded.
+    terms = df.select(id_col, text_col).repartition(id_col).select(id_col, F.explode(F.filter(F.split(F.lower(text_col), "[^a-z0-9]+"), lambda w: F.length(w) > 1)).alias("term"))
     tf = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     total = df.agg(F.count(F.lit(1)).alias("docs"))
     counts = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurs")).crossJoin(F.broadcast(total))  # one row
     kept = counts.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("docs"))).orderBy(F.desc("occurs"), "term").limit(features)
-    weighed = tf.join(kept, "term").withColumn("raw", F.col("tf") * (F.ln((F.lit(1.0) + F.col("docs")) / (F.lit(1.0) + F.col("df"))) + 1))
+    weighed = tf.join(F.broadcast(kept), "term").withColumn("raw", F.col("tf") * (F.ln((F.lit(1.0) + F.col("docs")) / (F.lit(1.0) + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
     return weighed.select(id_col, "term", "tf", F.round(F.col("raw") / norm, 6).alias("weight"))
 

@@ -46,15 +46,17 @@ def missing(a: str, b: str) -> str:
 
 
 COUNTS = f"""counts AS (SELECT *, len(w)::BIGINT AS n_words, greatest(1, len({SENTENCES}))::BIGINT AS n_sentences, coalesce(list_sum(y), 0)::BIGINT AS n_syllables,
-    coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS n_letters, len(list_filter(y, lambda v: v >= 3))::BIGINT AS n_complex
+    coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS n_letters, len(list_filter(y, lambda v: v >= 3))::BIGINT AS n_complex, len(list_filter(w, lambda x: length(x) > 10))::BIGINT AS n_long
     FROM (SELECT *, list_transform(w, lambda x: {SYLLABLES}) AS y FROM (SELECT *, {WORDS} AS w FROM documents)))"""
+STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 FRE = "(CASE WHEN n_words = 0 THEN 0.0 ELSE 206.835::DOUBLE - 1.015::DOUBLE * (n_words::DOUBLE / n_sentences) - 84.6::DOUBLE * (n_syllables::DOUBLE / n_words) END)"
 FKG = "(CASE WHEN n_words = 0 THEN 0.0 ELSE 0.39::DOUBLE * (n_words::DOUBLE / n_sentences) + 11.8::DOUBLE * (n_syllables::DOUBLE / n_words) - 15.59::DOUBLE END)"
 LENGTH = share("n_letters", "n_words")
-TECHNICAL = " + ".join(f"((length(lower(text)) - length(replace(lower(text), '{t}', ''))) // {len(t)})" for t in L.TECHNICAL if len(t) > 2)
-SCORED = f"""{COUNTS}, scored AS (SELECT *, {FRE} AS fre, {FKG} AS fkg, {LENGTH} AS avg_word_length, ({TECHNICAL})::BIGINT AS technical FROM counts),
-rated AS (SELECT *, CASE WHEN n_words = 0 THEN 0.0 ELSE 100.0::DOUBLE * technical / n_words END AS density FROM scored),
-judged AS (SELECT *, CASE WHEN length(text) < 50 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE,
+TECHNICAL = f"list_sum(list_transform({names([t for t in L.TECHNICAL if len(t) > 2])}, lambda x: ((length(lower(text)) - length(replace(lower(text), x, ''))) // length(x))::BIGINT))"
+PRESENT = f"len(list_filter({names(L.INDICATORS)}, lambda x: contains(lower(text), x)))"
+SCORED = f"""{COUNTS}, scored AS (SELECT *, {FRE} AS fre, {FKG} AS fkg, {LENGTH} AS avg_word_length, ({PRESENT})::BIGINT AS technical FROM counts),
+rated AS (SELECT *, 100.0::DOUBLE * technical / greatest(1, n_words) AS density FROM scored),
+judged AS (SELECT *, CASE WHEN length({STRIPPED}) < 50 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE,
     (CASE WHEN fre >= 60 THEN 0.3 WHEN fre >= 50 THEN 0.15 ELSE 0 END)::DOUBLE + (CASE WHEN fkg <= 8 THEN 0.3 WHEN fkg <= 12 THEN 0.15 ELSE 0 END)::DOUBLE
     + (CASE WHEN avg_word_length <= 4.5 THEN 0.2 WHEN avg_word_length <= 5.5 THEN 0.1 ELSE 0 END)::DOUBLE + (CASE WHEN density < 2 THEN 0.2 WHEN density < 5 THEN 0.1 ELSE 0 END)::DOUBLE) END AS confidence FROM rated)"""
 TRIPLES = f"""triples AS (SELECT u.conv_id, u.turn, {of(LOWER, 'u.text')} AS s, {of(LOWER, 'a.text')} AS p, {of(LOWER, 'b.text')} AS r, u.text AS source, a.text AS pred
@@ -62,4 +64,4 @@ TRIPLES = f"""triples AS (SELECT u.conv_id, u.turn, {of(LOWER, 'u.text')} AS s,
     JOIN benchmark b ON b.item_id = u.conv_id % (SELECT count(*) FROM benchmark) WHERE u.role = 'user')"""
 SETS = "sets AS (SELECT *, list_distinct(s) AS ss, list_distinct(p) AS ps, list_distinct(r) AS rs FROM triples)"
 BARE = rf"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', '', 'g'), '\s+'), lambda x: x <> ''))"
-SPECIAL = r"len(regexp_extract_all(text, '[^\p{L}\p{M}\p{N}_\s.,;:!?()''\"-]'))"
+SPECIAL = r"len(regexp_extract_all(text, '[^\p{L}\p{M}\p{N}_\s.,;:!?()''\"/-]'))"

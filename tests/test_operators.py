@@ -64,18 +64,19 @@ def test_tree(spark, tmp_path):
     base.mkdir(parents=True)
     (base / "a.txt").write_text(long + "|||" + "Short summary.|||more")
     (base / "b.csv").write_bytes(("Title,TEXT\ncaf\xe9," + long + "\n").encode("latin1"))
-    (base / "c.jsonl").write_text(json.dumps({"text": long, "summary": "s"}) + "\n\n{broken\n")
+    (base / "c.jsonl").write_text(json.dumps({"text": long, "summary": "s"}) + "\n\n{broken\n" + json.dumps({"Body": "short", "PLS": long + "Really."}) + "\n" + json.dumps({"body": long + "Also.", "lay_summary": long}) + "\n")
     (base / "d.json").write_text(json.dumps([{"Text": long}, {"text": "too short"}]))
     got = readers.read_tree(spark, str(tmp_path)).cache()
-    assert {r.doc_id for r in got.collect()} == {"trials_a#p1", "trials_b#r0", "trials_c#l0", "trials_d#o0"}
+    assert {r.doc_id for r in got.collect()} == {"trials_a#p1", "trials_b#r0", "trials_c#l0", "trials_c#l3", "trials_c#l4", "trials_d#o0"}
     assert {(r.split, r.label, r.source_dataset) for r in got.collect()} == {("train", "pls", "trials")}
-    assert {r.doc_id for r in got.filter("has_pair").collect()} == {"trials_a#p1", "trials_b#r0", "trials_c#l0"}
+    # Told by the mark, or both sides valid.
+    assert {r.doc_id for r in got.filter("has_pair").collect()} == {"trials_a#p1", "trials_c#l4"}
     once = writers.curated(got)
-    assert once.count() == 4
+    assert once.count() == 6
     writers.write_splits(once, str(tmp_path / "out"))
     writers.write_csv(once, str(tmp_path / "csv"), ["doc_id", "nothing", "label"])
     assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == ["doc_id", "label"]
-    assert writers.statistics(once).first().records == 4
+    assert writers.statistics(once).first().records == 6
     for _ in range(2):
         writers.append_new(once.select("doc_id", "texto_original"), str(tmp_path / "app"), "doc_id")
     assert spark.read.parquet(str(tmp_path / "app")).count() == 4
