@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import heapq
 import struct
+import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame
 from quarry.llm.common import added, table
 
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
+#: Pixels that an image may have: 64 MB for each of a few buffers of a task. Larger ones give an error, not pixels.
+PIXELS = 1 << 24
 _ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
 _NEAR = [
     (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2), (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3),
@@ -35,83 +39,106 @@ def _parts(size: int, bits: int) -> int:
     return (size + (1 << bits) - 1) >> bits
 
 
+#: Bits of codes in reverse, 15 of them, and the bytes read at once.
+_TURNED = [int(f"{k:015b}"[::-1], 2) for k in range(1 << 15)]
+_WINDOW = 16
+
+
 class _Bits:
     def __init__(self, data: bytes):
         self.at, self.end = 0, len(data) * 8
-        # Padded, so that a window of eight bytes can be read anywhere.
-        self.data = data + bytes(8)
-
-    def peek(self) -> int:
-        return int.from_bytes(self.data[self.at >> 3 : (self.at >> 3) + 8], "little") >> (self.at & 7)
+        # Padded, so that a window can be read anywhere.
+        self.data = data + bytes(_WINDOW)
 
     def read(self, n: int) -> int:
-        out = self.peek() & ((1 << n) - 1)
-        self.at += n
+        at = self.at
+        out = int.from_bytes(self.data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7) & ((1 << n) - 1)
+        self.at = at + n
         if self.at > self.end:
             raise ValueError("the image ends early")
         return out
 
 
+def _placed(length: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(symbol, bits with the first one lowest, their number) of canonical codes."""
+    out, code, before = [], 0, 0
+    for n, s in sorted([(n, s) for s, n in length.items()]):
+        code <<= n - before
+        before = n
+        out.append((s, _TURNED[code] >> (15 - n), n))
+        code += 1
+    return out
+
+
 class _Prefix:
-    """Table from the next bits to (symbol, length); canonical codes of the lengths."""
+    """Table from the next bits to 16 * symbol + length; canonical codes of the lengths. A single symbol takes no bits."""
 
-    def __init__(self, lengths: list[int]):
-        used = [s for s, n in enumerate(lengths) if n]
-        self.only = used[0] if len(used) == 1 else 0 if not used else -1
-        if self.only >= 0:
+    def __init__(self, length: dict[int, int]):
+        if len(length) < 2:
+            self.mask, self.table = 0, [next(iter(length), 0) << 4]
             return
-        self.bits = most = max(lengths)
-        if sum(1 << (most - lengths[s]) for s in used) != 1 << most:
+        most = max(length.values())
+        if sum(1 << (most - n) for n in length.values()) != 1 << most:
             raise ValueError("the prefix code isn't complete")
-        self.table: list = [None] * (1 << most)
-        code = 0
-        for n in range(1, most + 1):
-            for s in used:
-                if lengths[s] == n:
-                    start = int(f"{code:0{n}b}"[::-1], 2)
-                    self.table[start :: 1 << n] = [(s, n)] * (1 << (most - n))
-                    code += 1
-            code <<= 1
-
-    def next(self, bits: _Bits) -> int:
-        if self.only >= 0:
-            return self.only
-        symbol, n = self.table[bits.peek() & ((1 << self.bits) - 1)]
-        bits.at += n
-        return symbol
+        size = 1 << most
+        self.mask, self.table = size - 1, [0] * size
+        for s, start, n in _placed(length):
+            if n == most:
+                self.table[start] = s << 4 | n
+            else:
+                self.table[start :: 1 << n] = [s << 4 | n] * (size >> n)
 
 
 def _read_prefix(bits: _Bits, size: int) -> _Prefix:
-    lengths = [0] * size
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
+        length = {}
         for n in [8 if wide else 1] + [8] * two:
             symbol = bits.read(n)
             if symbol >= size:
                 raise ValueError("a symbol beyond the alphabet")
-            lengths[symbol] = 1
-        return _Prefix(lengths)
-    first = [0] * 19
+            length[symbol] = 1
+        return _Prefix(length)
+    first = {}
     for k in range(4 + bits.read(4)):
-        first[_ORDER[k]] = bits.read(3)
+        n = bits.read(3)
+        if n:
+            first[_ORDER[k]] = n
     code = _Prefix(first)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     if left > size:
         raise ValueError("more code lengths than symbols")
-    at, before = 0, 8
+    table, mask, data, place = code.table, code.mask, bits.data, bits.at
+    at, before, length = 0, 8, {}
     while at < size and left:
         left -= 1
-        n = code.next(bits)
+        window = int.from_bytes(data[place >> 3 : (place >> 3) + 8], "little") >> (place & 7)
+        entry = table[window & mask]
+        n, used = entry >> 4, entry & 15
         if n < 16:
-            lengths[at], at = n, at + 1
-            before = n or before
+            place += used
+            if n:
+                length[at] = before = n
+            at += 1
             continue
-        run, what = {16: (3 + bits.read(2), before) if n == 16 else None, 17: (3 + bits.read(3), 0) if n == 17 else None, 18: (11 + bits.read(7), 0) if n == 18 else None}[n]
-        if at + run > size:
-            raise ValueError("a run beyond the alphabet")
-        lengths[at : at + run] = [what] * run
+        window >>= used
+        if n == 16:
+            run, used = 3 + (window & 3), used + 2
+            length.update(dict.fromkeys(range(at, at + run), before))
+        elif n == 17:
+            run, used = 3 + (window & 7), used + 3
+        else:
+            run, used = 11 + (window & 127), used + 7
+        place += used
         at += run
-    return _Prefix(lengths)
+        if at > size:
+            raise ValueError("a run beyond the alphabet")
+        if place > bits.end:
+            raise ValueError("the image ends early")
+    bits.at = place
+    if place > bits.end:
+        raise ValueError("the image ends early")
+    return _Prefix(length)
 
 
 def _amount(bits: _Bits, symbol: int) -> int:
@@ -121,7 +148,7 @@ def _amount(bits: _Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
-def _read_image(bits: _Bits, width: int, height: int, main: bool) -> list[int]:
+def _read_image(bits: _Bits, width: int, height: int, main: bool) -> array:
     """Pixels after prefix codes, back-references and colour cache."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
@@ -131,45 +158,64 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> list[int]:
         precision = bits.read(3) + 2
         which = [(p >> 8) & 0xFFFF for p in _read_image(bits, _parts(width, precision), _parts(height, precision), False)]
         groups = max(which) + 1
-    codes = [[_read_prefix(bits, n) for n in (280 + (cache_bits and 1 << cache_bits), 256, 256, 256, 40)] for _ in range(groups)]
+    codes = [[(c.table, c.mask) for c in (_read_prefix(bits, n) for n in (280 + (cache_bits and 1 << cache_bits), 256, 256, 256, 40))] for _ in range(groups)]
     cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
-    total, out, row = width * height, [], _parts(width, precision)
-    green, red, blue, alpha, far = codes[0]
-    while len(out) < total:
+    total, out, row = width * height, array("I"), _parts(width, precision)
+    (green, gm), (red, rm), (blue, bm), (alpha, am), (far, fm) = codes[0]
+    data, place, end, append, window_of, many = bits.data, bits.at, bits.end, out.append, int.from_bytes, 0
+    while many < total:
         if which:
-            at = len(out)
-            green, red, blue, alpha, far = codes[which[(at // width >> precision) * row + (at % width >> precision)]]
-        s = green.next(bits)
+            (green, gm), (red, rm), (blue, bm), (alpha, am), (far, fm) = codes[which[(many // width >> precision) * row + (many % width >> precision)]]
+        # Four codes of up to 15 bits fit into what a window holds.
+        window = window_of(data[place >> 3 : (place >> 3) + _WINDOW], "little") >> (place & 7)
+        entry = green[window & gm]
+        n, s = entry & 15, entry >> 4
         if s < 256:
-            r = red.next(bits)
-            b = blue.next(bits)
-            pixel = alpha.next(bits) << 24 | r << 16 | s << 8 | b
-            out.append(pixel)
+            window >>= n
+            x = red[window & rm]
+            window >>= x & 15
+            y = blue[window & bm]
+            window >>= y & 15
+            z = alpha[window & am]
+            place += n + (x & 15) + (y & 15) + (z & 15)
+            pixel = (z >> 4) << 24 | (x >> 4) << 16 | s << 8 | y >> 4
+            append(pixel)
+            many += 1
             if cache_bits:
                 cache[(_HASH * pixel & 0xFFFFFFFF) >> shift] = pixel
         elif s < 280:
+            bits.at = place + n
             run = _amount(bits, s - 256)
-            d = _amount(bits, far.next(bits))
+            window = window_of(data[bits.at >> 3 : (bits.at >> 3) + 8], "little") >> (bits.at & 7)
+            entry = far[window & fm]
+            bits.at += entry & 15
+            d = _amount(bits, entry >> 4)
+            place = bits.at
             if d > 120:
                 d -= 120
             else:
                 x, y = _NEAR[d - 1]
                 d = max(1, x + y * width)
-            if d > len(out) or run > total - len(out):
+            if d > many or run > total - many:
                 raise ValueError("a back-reference out of the image")
-            for _ in range(run):
-                pixel = out[-d]
-                out.append(pixel)
-                if cache_bits:
+            # Copied at once, the stretch between repeated as often as the run needs.
+            piece = out[many - d : many - d + run] if d >= run else (out[many - d :] * (run // d + 1))[:run]
+            out.extend(piece)
+            many += run
+            if cache_bits:
+                for pixel in piece:
                     cache[(_HASH * pixel & 0xFFFFFFFF) >> shift] = pixel
         else:
+            place += n
             if s - 280 >= len(cache):
                 raise ValueError("beyond the colour cache")
             pixel = cache[s - 280]
-            out.append(pixel)
+            append(pixel)
+            many += 1
             cache[(_HASH * pixel & 0xFFFFFFFF) >> shift] = pixel
-        if bits.at > bits.end:
+        if place > end:
             raise ValueError("the image ends early")
+    bits.at = place
     return out
 
 
@@ -245,15 +291,29 @@ def _modes(blocks: list[int], width: int, bits: int):
     return lambda at: _PREDICTIONS[(blocks[(at // width >> bits) * row + (at % width >> bits)] >> 8) & 15]
 
 
-def _undo_predictor(pixels: list[int], width: int, bits: int, blocks: list[int]) -> list[int]:
-    mode, out = _modes(blocks, width, bits), []
-    for at, rest in enumerate(pixels):
-        out.append(_plus(rest, _predicted(out, at, width, mode(at))))
+def _undo_predictor(pixels: array, width: int, bits: int, blocks: array) -> array:
+    out, row = array("I", bytes(4 * len(pixels))), _parts(width, bits)
+    size, at = 1 << bits, 0
+    left = 0xFF000000
+    for at in range(min(width, len(pixels))):
+        left = out[at] = _plus(pixels[at], left)
+    for y in range(1, len(pixels) // width):
+        at = y * width
+        left = out[at] = _plus(pixels[at], out[at - width])
+        for k in range(row):
+            mode = _PREDICTIONS[(blocks[(y >> bits) * row + k] >> 8) & 15]
+            for at in range(y * width + max(1, k * size), y * width + min(width, (k + 1) * size)):
+                a, b = pixels[at], mode(left, out[at - width], out[at - width + 1], out[at - width - 1])
+                left = out[at] = ((a & 0xFF00FF00) + (b & 0xFF00FF00)) & 0xFF00FF00 | ((a & 0xFF00FF) + (b & 0xFF00FF)) & 0xFF00FF
     return out
 
 
+def _packed(x: np.ndarray) -> array:
+    return array("I", np.ascontiguousarray(x, np.uint32).tobytes())
+
+
 def _spread(blocks: list[int], width: int, height: int, bits: int) -> np.ndarray:
-    grid = np.array(blocks, np.uint32).reshape(-1, _parts(width, bits))
+    grid = np.asarray(blocks, np.uint32).reshape(-1, _parts(width, bits))
     return np.repeat(np.repeat(grid, 1 << bits, 0), 1 << bits, 1)[:height, :width].ravel()
 
 
@@ -261,33 +321,33 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return (x & 0xFF).astype(np.uint8).view(np.int8).astype(np.int32)
 
 
-def _cross(pixels: list[int], width: int, height: int, bits: int, blocks: list[int], sign: int) -> list[int]:
-    p, m = np.array(pixels, np.uint32), _spread(blocks, width, height, bits)
+def _cross(pixels, width: int, height: int, bits: int, blocks, sign: int) -> array:
+    p, m = np.asarray(pixels, np.uint32), _spread(blocks, width, height, bits)
     green, red, blue = _signed(p >> 8), (p >> 16 & 255).astype(np.int32), (p & 255).astype(np.int32)
     new = (red + sign * ((_signed(m) * green) >> 5)) & 255
     true = new if sign > 0 else red  # blue depends on the true red
     blue = (blue + sign * (((_signed(m >> 8) * green) >> 5) + ((_signed(m >> 16) * _signed(true)) >> 5))) & 255
-    return (p & 0xFF00FF00 | new.astype(np.uint32) << 16 | blue.astype(np.uint32)).tolist()
+    return _packed(p & 0xFF00FF00 | new.astype(np.uint32) << 16 | blue.astype(np.uint32))
 
 
-def _greens(pixels: list[int], sign: int) -> list[int]:
-    p = np.array(pixels, np.int64)
+def _greens(pixels, sign: int) -> array:
+    p = np.asarray(pixels).astype(np.int64)
     g = p >> 8 & 255
-    return (p & 0xFF00FF00 | ((p >> 16) + sign * g & 255) << 16 | (p + sign * g & 255)).tolist()
+    return _packed(p & 0xFF00FF00 | ((p >> 16) + sign * g & 255) << 16 | (p + sign * g & 255))
 
 
 def _palette_bits(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
-def _undo_palette(pixels: list[int], width: int, height: int, palette: list[int]) -> list[int]:
+def _undo_palette(pixels: array, width: int, height: int, palette: array) -> array:
     bits = _palette_bits(len(palette))
-    packed = np.array(pixels, np.int64).reshape(height, -1) >> 8 & 255
+    packed = np.asarray(pixels, np.uint32).reshape(height, -1) >> 8 & 255
     depth, many = 8 >> bits, 1 << bits
     index = (packed[:, :, None] >> (np.arange(many) * depth) & ((1 << depth) - 1)).reshape(height, -1)[:, :width]
     colours = np.zeros(256, np.int64)
     colours[: len(palette)] = palette
-    return colours[index].ravel().tolist()
+    return _packed(colours[index].ravel())
 
 
 def chunk_of(data: bytes) -> bytes:
@@ -303,8 +363,14 @@ def chunk_of(data: bytes) -> bytes:
     raise ValueError("no lossless image in the file")
 
 
-def decode(data: bytes) -> tuple[int, int, list[int]]:
-    """Width, height and pixels of a lossless WebP file; ValueError for anything else."""
+def decode(data: bytes, most: int = PIXELS) -> tuple[int, int, list[int]]:
+    """Width, height and pixels of a lossless WebP file of at most so many pixels; ValueError for anything else."""
+    width, height, pixels = decode_pixels(data, most)
+    return width, height, pixels.tolist()
+
+
+def decode_pixels(data: bytes, most: int = PIXELS) -> tuple[int, int, array]:
+    """As ``decode``, with the pixels in an array of unsigned 32-bit numbers."""
     bits = _Bits(chunk_of(data))
     if bits.read(8) != 0x2F:
         raise ValueError("no lossless signature")
@@ -312,6 +378,8 @@ def decode(data: bytes) -> tuple[int, int, list[int]]:
     bits.read(1)
     if bits.read(3):
         raise ValueError("an unknown version")
+    if width * height > most:
+        raise ValueError(f"more than {most} pixels")
     undo, now, seen = [], width, set()
     while bits.read(1):
         kind = bits.read(2)
@@ -349,31 +417,38 @@ def decode(data: bytes) -> tuple[int, int, list[int]]:
 
 class _Out:
     def __init__(self):
-        self.value, self.n, self.done = 0, 0, bytearray()
+        self.value, self.n, self.done = 0, 0, []
 
     def write(self, value: int, n: int) -> None:
         self.value |= value << self.n
         self.n += n
-        while self.n >= 8:
-            self.done.append(self.value & 255)
-            self.value >>= 8
-            self.n -= 8
+        if self.n > 512:
+            size = self.n >> 3
+            self.done.append((self.value & ((1 << size * 8) - 1)).to_bytes(size, "little"))
+            self.value >>= size * 8
+            self.n &= 7
 
     def bytes(self) -> bytes:
-        return bytes(self.done) + (bytes([self.value]) if self.n else b"")
+        return b"".join(self.done) + self.value.to_bytes((self.n + 7) >> 3, "little")
 
 
 def code_lengths(counts: dict[int, int], most: int) -> dict[int, int]:
     """Lengths of a prefix code no longer than ``most``; counts are flattened until it fits."""
     while True:
-        heap = [(c, s, (s,)) for s, c in counts.items()]
+        symbols = sorted(counts)
+        heap = [(counts[s], k) for k, s in enumerate(symbols)]
         heapq.heapify(heap)
-        length = dict.fromkeys(counts, 0)
+        parent, new = [0] * (2 * len(symbols)), len(symbols)
         while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                length[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
+            a, x = heapq.heappop(heap)
+            b, y = heap[0]
+            parent[x] = parent[y] = new
+            heapq.heapreplace(heap, (a + b, new))
+            new += 1
+        depth = [0] * (2 * len(symbols))
+        for k in range(new - 2, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        length = dict(zip(symbols, depth, strict=False)) if len(symbols) > 1 else dict.fromkeys(symbols, 0)
         if max(length.values(), default=0) <= most:
             return length
         counts = {s: (c + 1) // 2 for s, c in counts.items()}
@@ -383,13 +458,7 @@ def _canonical(length: dict[int, int]) -> dict[int, tuple[int, int]]:
     """Bits (first bit lowest) and their number by symbol; none for a single symbol."""
     if len(length) < 2:
         return {s: (0, 0) for s in length}
-    out, code, before = {}, 0, 0
-    for n, s in sorted((n, s) for s, n in length.items()):
-        code <<= n - before
-        before = n
-        out[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
-        code += 1
-    return out
+    return {s: (code, n) for s, code, n in _placed(length)}
 
 
 def _write_prefix(out: _Out, counts: Counter, size: int) -> dict[int, tuple[int, int]]:
@@ -402,18 +471,29 @@ def _write_prefix(out: _Out, counts: Counter, size: int) -> dict[int, tuple[int,
     length = code_lengths(counts, 15)
     if len(length) == 1:
         length = dict.fromkeys(length, 1)
-    steps, at = [], 0
-    while at < size:
-        n, run = length.get(at, 0), 1
-        while at + run < size and length.get(at + run, 0) == n and run < (138 if n == 0 else 7):
-            run += 1
-        if n == 0 and run >= 3:
-            steps.append((17, run - 3, 3) if run <= 10 else (18, run - 11, 7))
-        elif n and run >= 4:
-            steps += [(n, 0, 0), (16, run - 4, 2)]
+    # Runs of one length, zeros between the symbols used.
+    runs, last = [], -1
+    for s in sorted(length):
+        if s > last + 1:
+            runs.append((0, s - last - 1))
+        if runs and runs[-1][0] == length[s] and s == last + 1:
+            runs[-1] = (length[s], runs[-1][1] + 1)
         else:
-            steps += [(n, 0, 0)] * run
-        at += run
+            runs.append((length[s], 1))
+        last = s
+    if last + 1 < size:
+        runs.append((0, size - last - 1))
+    steps = []
+    for n, left in runs:
+        while left:
+            run = min(left, 7 if n else 138)
+            if n == 0 and run >= 3:
+                steps.append((17, run - 3, 3) if run <= 10 else (18, run - 11, 7))
+            elif n and run >= 4:
+                steps += [(n, 0, 0), (16, run - 4, 2)]
+            else:
+                steps += [(n, 0, 0)] * run
+            left -= run
     inner = code_lengths(Counter(s for s, _, _ in steps), 7)
     inner = dict.fromkeys(inner, 1) if len(inner) == 1 else inner
     last = max(k for k, s in enumerate(_ORDER) if s in inner)
@@ -505,9 +585,13 @@ def _write_image(out: _Out, pixels: list[int], width: int, main: bool, cache_bit
     sizes = (280 + (cache_bits and 1 << cache_bits), 256, 256, 256, 40)
     codes = [[_write_prefix(out, c, n) for c, n in zip(group, sizes, strict=True)] for group in counts]
     for g, plan in planned:
+        of = codes[g]
+        value = size = 0
         for k, symbol, extra, n in plan:
-            out.write(*codes[g][k][symbol])
-            out.write(extra, n)
+            code, m = of[k][symbol]
+            value |= (code | extra << m) << size
+            size += m + n
+        out.write(value, size)
 
 
 def encode(pixels: list[int], width: int, tools: tuple[str, ...] = ("predictor", "references")) -> bytes:
@@ -562,7 +646,7 @@ def images_of_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
 
     Components are cut to -1 to 1; null ones and those that aren't numbers count as -1. Null
     and empty vectors have no image, nor have those that don't fill their last row, but
-    for single rows. The tools of the encoder go by the id; null ids take the first.
+    for single rows. The tools of the encoder go by the id, or a checksum of one that isn't a number; null ids take the first.
     """
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -574,17 +658,17 @@ def images_of_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
                 continue
             x = np.nan_to_num(np.array([-1.0 if v is None else v for v in vector], np.float64), nan=-1.0, posinf=1.0, neginf=-1.0)
             pixels = (np.floor((np.clip(x, -1, 1) + 1.0) * 8388607.5).astype(np.int64) | 0xFF000000).tolist()
-            out.append(encode(pixels, min(8, len(pixels)), TURNS[(ident or 0) % len(TURNS)]))
+            out.append(encode(pixels, min(8, len(pixels)), TURNS[(ident if isinstance(ident, int) else zlib.crc32(str(ident or "").encode())) % len(TURNS)]))
         return [pa.array(out, pa.binary())]
 
     return added(vectors, run, [(image_col, "binary")])
 
 
-def decode_images(df: DataFrame, image_col: str = "image") -> DataFrame:
+def decode_images(df: DataFrame, image_col: str = "image", most: int = PIXELS) -> DataFrame:
     """``df`` with width, height and pixels (ARGB, rows on end) of each lossless WebP image, and an error.
 
-    Null and empty images have nulls in all four; what can't be decoded has its error and
-    nulls. Repeated images are decoded each. Other columns are kept; those named like the new
+    Null and empty images have nulls in all four; what can't be decoded, or has more
+    than ``most`` pixels, has its error and nulls. Repeated images are decoded each. Other columns are kept; those named like the new
     ones are replaced. An empty table stays empty.
     """
 
@@ -592,11 +676,11 @@ def decode_images(df: DataFrame, image_col: str = "image") -> DataFrame:
         rows = []
         for data in batch.column(batch.schema.get_field_index(image_col)).to_pylist():
             try:
-                rows.append((*decode(data), None) if data else (None,) * 4)
+                rows.append((*decode_pixels(data, most), None) if data else (None,) * 4)
             except (ValueError, IndexError, TypeError) as e:
                 rows.append((None, None, None, str(e) or "broken"))
         width, height, pixels, error = zip(*rows, strict=True) if rows else ((),) * 4
-        signed = [None if p is None else np.array(p, np.uint32).view(np.int32) for p in pixels]
+        signed = [None if p is None else np.frombuffer(p, np.int32) for p in pixels]
         return [pa.array(width, pa.int32()), pa.array(height, pa.int32()), pa.array(signed, pa.list_(pa.int32())), pa.array(error, pa.string())]
 
     return added(df, run, [("width", "int"), ("height", "int"), ("pixels", "array<int>"), ("error", "string")])
