@@ -79,7 +79,7 @@ def test_tree(spark, tmp_path):
     assert writers.statistics(once).first().records == 6
     for _ in range(2):
         writers.append_new(once.select("doc_id", "texto_original"), str(tmp_path / "app"), "doc_id")
-    assert spark.read.parquet(str(tmp_path / "app")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "app")).count() == 6
 
 
 def test_path_facts(spark):
