@@ -1,10 +1,14 @@
 """SimHash near-duplicates by navigable small-world graphs over Hamming distance.
 
 Signatures of 256 bits summarise the distinct runs of two words. Texts with the same words are one node.
-Nodes are dealt to shards. A shard's graph has adjacency lists: each node's nearest ones of
+Nodes are dealt to shards in several rounds, each time by the least hash of their runs of
+three words under another hash function: texts of similarity s meet in a round with
+probability s, in one of ROUNDS or more with 1 - (1 - s) ** ROUNDS. Nodes alone with their
+hash sit that round out. So the work grows with the number of nodes, not with its square.
+A shard that a frequent hash makes larger than ``shard_rows`` is cut into blocks that all
+meet. A shard's graph has adjacency lists: each node's nearest ones of
 those that stand beside it in 64 orders of the signatures (order t compares them turned
-left by 4t bits), and a few links far away in one of the orders. Every block of queries is sent
-to every shard's graph. A query enters beside its own place in each order and walks best
+left by 4t bits), and a few links far away in one of the orders. A query enters beside its own place in each order and walks best
 first: a beam holds the nearest nodes met, and the links of those not yet expanded are looked
 at until all of the beam are. Each task audits the recall of a sample of its queries, by
 query and by group, against exact search; beam and entries double until the target is met.
@@ -15,8 +19,8 @@ other candidates that would join different verified groups. So every candidate i
 or lies within a verified group. Verified edges are united.
 
 At last the groups are audited: a sample of nodes is compared exactly with all texts, and if
-too few of the similar ones are in the same group, all is done again with a wider radius
-or beam.
+too few of the similar ones are in the same group, all is done again with a wider radius,
+with every block of nodes sent to every other, or with a wider beam.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import logging
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cleared, column, mark, removed, spare, table, texts_of, written
@@ -35,6 +39,8 @@ from quarry.llm.text import U64, chunks, mix, shingles, words
 #: Production parameters: Jaccard similarity, bits that may differ, nodes of a shard.
 SIMILARITY, RADIUS, SHARD = 0.6, 72, 1 << 18
 ORDERS, BEAM, AUDITED, RECALL = 64, 16, 512, 0.95
+#: Rounds of dealing, and nodes that a shard of a round has on average.
+ROUNDS, DEALT = 8, 1 << 14
 #: Links of a node to near ones and to far ones, nodes of the beam expanded at once, and queries that walk at once.
 NEAR, FAR, EXPANDED, WALKERS = 16, 4, 4, 8192
 #: Direct links that tie a query to a large group, audited queries with partners wanted, and blocks of AUDITED to find them in.
@@ -45,6 +51,7 @@ SLICE, PARTNERED, SLICES, WIDEST = 4096, 64, 4, 96
 BROADCAST_ROWS = 500_000
 _SIGNS = (((np.arange(256)[:, None] >> np.arange(8)) & 1) * 2 - 1).astype(np.float32)
 _SIGNATURE = ["s0", "s1", "s2", "s3"]
+_LEAST = [f"k{r}" for r in range(ROUNDS)]
 
 
 def signatures(runs: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -77,30 +84,41 @@ def identities(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def least_hashes(runs: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text and round the least hash of its runs; 0 for a text without any."""
+    out = np.zeros((len(offsets) - 1, ROUNDS), U64)
+    some = np.diff(offsets) > 0
+    for r in range(ROUNDS if some.any() else 0):
+        out[some, r] = np.minimum.reduceat(mix(runs + U64(r + 1) * U64(0x9E3779B97F4A7C15)), offsets[:-1][some])
+    return out
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
 def _summaries(keyed: DataFrame) -> DataFrame:
-    """Key, node and signature of each row whose text has words."""
+    """Key, node, signature and least hashes of each row whose text has words."""
+    names = ["key", "n0", "n1", *_SIGNATURE, *_LEAST]
 
     def run(batches):
         for batch in batches:
             texts = texts_of(batch, "text")
-            nodes, marks = [], []
+            nodes, marks, least = [], [], []
             keep = np.zeros(len(texts), bool)
             for a, b in chunks(np.fromiter((len(t) for t in texts), np.int64, len(texts)), 1 << 18):
                 hashes, offsets, _, _ = words(texts[a:b])
                 nodes.append(identities(hashes, offsets))
                 marks.append(signatures(*shingles(hashes, offsets, 2)))
+                least.append(least_hashes(*shingles(hashes, offsets, 3)))
                 keep[a:b] = np.diff(offsets) > 0
             if not keep.any():
                 continue
-            node, mark = np.concatenate(nodes)[keep], np.concatenate(marks)[keep]
+            node, mark, low = (np.concatenate(x)[keep] for x in (nodes, marks, least))
             key = batch.column(0).filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([key, *(_signed(x) for x in node.T), *(_signed(x) for x in mark.T)], names=["key", "n0", "n1", *_SIGNATURE])
+            yield pa.RecordBatch.from_arrays([key, *(_signed(x) for x in node.T), *(_signed(x) for x in mark.T), *(_signed(x) for x in low.T)], names=names)
 
-    return keyed.select("key", "text").mapInArrow(run, "key binary, n0 bigint, n1 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    return keyed.select("key", "text").mapInArrow(run, "key binary, " + ", ".join(f"{n} bigint" for n in names[1:]))
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -304,37 +322,54 @@ def search(graph: np.ndarray, queries: np.ndarray | None, radius: int = RADIUS,
         beam *= 2
 
 
-def _candidates(nodes: DataFrame, count: int, radius: int, shard_rows: int, beam: int = BEAM) -> DataFrame:
-    """Pairs of nodes within the radius: (a, b, part), part 1 or 2: in that spanning forest of its task, 0: in neither, -1: not a pair but the task's audit."""
-    shards = max(1, -(-count // shard_rows))
-    # Shard i's nodes go to the tasks (i, j) and (j, i), i <= j: queries of i against the graph of j.
-    place = nodes.withColumn("shard", F.pmod(F.xxhash64("n0", "n1"), F.lit(shards)).cast("int"))
-    sent = place.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("task", F.least("shard", "other") * shards + F.greatest("shard", "other"))
+def _dealt(nodes: DataFrame, shard_rows: int) -> DataFrame:
+    """Nodes with the number of each shard that they go to; those alone with their least hash in a round are left out of it."""
+    rounds = nodes.select("n0", "n1", *_SIGNATURE, F.posexplode(F.array(*_LEAST)).alias("round", "least"))
+    alike = rounds.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("round", "least"))).filter("many > 1")
+    rows = written(alike.drop("many"), "dealt")
+    shards = max(1, -(-rows.count() // (ROUNDS * min(shard_rows, DEALT))))
+    return rows.withColumn("shard", (F.col("round") * shards + F.pmod(F.xxhash64("least"), F.lit(shards))).cast("int"))
+
+
+def _candidates(nodes: DataFrame, count: int, radius: int, shard_rows: int, beam: int = BEAM, every: bool = False) -> DataFrame:
+    """Pairs of nodes within the radius: (a, b, part), part 1 or 2: in that spanning forest of its task, 0: in neither, -1: not a pair but the task's audit.
+
+    A pair has the lesser node first; several tasks may find it. every: all nodes are one shard.
+    """
+    if every or count <= min(shard_rows, DEALT):
+        sent, large = nodes.withColumn("shard", F.lit(0)), [(0, count)] if count > shard_rows else []
+    else:
+        sent = _dealt(nodes, shard_rows)
+        large = [tuple(r) for r in sent.groupBy("shard").count().filter(F.col("count") > 2 * shard_rows).collect()]
+    # Block i of a large shard goes to the tasks (i, j) and (j, i), i <= j: queries of i against the graph of j.
+    cut = {int(shard): -(-rows // shard_rows) for shard, rows in large}
+    many = F.coalesce(F.create_map(*[F.lit(x) for item in cut.items() for x in item])[F.col("shard")], F.lit(1)) if cut else F.lit(1)
+    blocks = sent.withColumn("blocks", many).withColumn("block", F.pmod(F.xxhash64("n0", "n1"), F.col("blocks")).cast("int"))
+    sent = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("n0", "ascending"), ("n1", "ascending")])
-        shard = group["shard"].to_numpy()
-        task = int(group["task"][0].as_py())
+        block = group["block"].to_numpy()
+        shard, low, high = (int(group[c][0].as_py()) for c in ("shard", "low", "high"))
         name = np.stack([group["n0"].to_numpy(), group["n1"].to_numpy()], axis=1)
         mark = np.stack([group[s].to_numpy() for s in _SIGNATURE], axis=1).view(np.uint64)
-        low, high = divmod(task, shards)
         if low == high:
             pairs, recall, beam_used = search(mark, None, radius, beam)
         else:
-            asks, holds = np.flatnonzero(shard == low), np.flatnonzero(shard == high)
+            asks, holds = np.flatnonzero(block == low), np.flatnonzero(block == high)
             pairs, recall, beam_used = search(mark[holds], mark[asks], radius, beam)
             pairs = np.stack([holds[pairs[:, 0]], asks[pairs[:, 1]]], axis=1)
-        a, b = pairs[:, 0], pairs[:, 1]
+        a, b = pairs.min(axis=1), pairs.max(axis=1)
         part = np.zeros(len(a), np.int32)
         weight = _distance(mark[a], mark[b])
         for k in (1, 2):
             rest = np.flatnonzero(part == 0)
             part[rest[forest(len(name), a[rest], b[rest], weight[rest])]] = k
-        # The last row is the task's audit: recall in millionths, the beam, the task.
-        arrays = [np.append(x, y) for x, y in zip((name[a, 0], name[a, 1], name[b, 0], name[b, 1], part), (int(recall * 1e6), beam_used, task, 0, -1), strict=True)]
+        # The last row is the task's audit: recall in millionths, the beam, the shard, and its blocks.
+        arrays = [np.append(x, y) for x, y in zip((name[a, 0], name[a, 1], name[b, 0], name[b, 1], part), (int(recall * 1e6), beam_used, shard, low << 32 | high, -1), strict=True)]
         return pa.table([*(pa.array(x, pa.int64()) for x in arrays[:4]), pa.array(arrays[4], pa.int32())], names=["a0", "a1", "b0", "b1", "part"])
 
-    flat = sent.select("task", "shard", "n0", "n1", *_SIGNATURE).groupBy("task").applyInArrow(run, "a0 bigint, a1 bigint, b0 bigint, b1 bigint, part int")
+    flat = sent.select("shard", "low", "high", "block", "n0", "n1", *_SIGNATURE).groupBy("shard", "low", "high").applyInArrow(run, "a0 bigint, a1 bigint, b0 bigint, b1 bigint, part int")
     return flat.select(F.struct(F.col("a0").alias("n0"), F.col("a1").alias("n1")).alias("a"), F.struct(F.col("b0").alias("n0"), F.col("b1").alias("n1")).alias("b"), "part")
 
 
@@ -356,8 +391,8 @@ def _runs(texts: DataFrame) -> DataFrame:
 
 
 def audits(pairs: DataFrame) -> DataFrame:
-    """(task, recall, beam): the recall that each task's sample of queries reached against exact search."""
-    return pairs.filter("part = -1").select(F.col("b.n0").alias("task"), (F.col("a.n0") / 1e6).alias("recall"), F.col("a.n1").alias("beam"))
+    """(shard, blocks, recall, beam): the recall that each task's sample of queries reached against exact search."""
+    return pairs.filter("part = -1").select(F.col("b.n0").alias("shard"), F.col("b.n1").alias("blocks"), (F.col("a.n0") / 1e6).alias("recall"), F.col("a.n1").alias("beam"))
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -456,17 +491,17 @@ def audited_recall(truth: DataFrame, groups: DataFrame) -> float:
     return min(share.mean(), np.average(share, weights=[1 / r.n for r in rows])) if rows else 1.0
 
 
-def _groups(nodes: DataFrame, count: int, keyed: DataFrame, summaries: DataFrame, similarity: float, radius: int, shard_rows: int, beam: int) -> DataFrame:
+def _groups(nodes: DataFrame, count: int, keyed: DataFrame, summaries: DataFrame, similarity: float, radius: int, shard_rows: int, beam: int, every: bool) -> DataFrame:
     """(node, root) of the groups that verified candidates make."""
-    pairs = written(_candidates(nodes, count, radius, shard_rows, beam), "candidates")
+    pairs = written(_candidates(nodes, count, radius, shard_rows, beam, every), "candidates")
     least = audits(pairs).agg(F.min("recall")).first()[0]
     if least is not None and least < RECALL:
         # Only where the beam already takes in the whole shard.
         logging.getLogger(__name__).warning("recall of %.3f against exact search", least)
-    first = _verified(pairs.filter("part > 0").select("a", "b"), keyed, summaries, similarity)
+    first = _verified(pairs.filter("part > 0").select("a", "b").distinct(), keyed, summaries, similarity)
     groups = components(first)
     # Candidates outside the forests whose ends the verified edges don't link.
-    rest = written(_linked(pairs.filter("part = 0"), groups).filter("a_root != b_root").select("a", "b"), "rest")
+    rest = written(_linked(pairs.filter("part = 0").select("a", "b").distinct(), groups).filter("a_root != b_root").select("a", "b"), "rest")
     if not rest.isEmpty():
         more = _verified(rest, keyed, summaries, similarity)
         if not more.isEmpty():
@@ -491,13 +526,13 @@ def duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     since = mark()
     keyed = _keyed(docs, id_col, text_col)
     summaries = written(_summaries(keyed), "summaries")
-    counted = summaries.groupBy("n0", "n1").agg(*[F.first(s).alias(s) for s in _SIGNATURE])
+    counted = summaries.groupBy("n0", "n1").agg(*[F.first(s).alias(s) for s in _SIGNATURE + _LEAST])
     nodes = written(counted, "nodes")
-    count, beam = nodes.count(), BEAM
+    count, beam, every = nodes.count(), BEAM, False
     truth = _truth(keyed, summaries, nodes, count, similarity)
     while True:
-        groups = _groups(nodes, count, keyed, summaries, similarity, radius, shard_rows, beam)
-        if truth is None or audited_recall(truth, groups) >= RECALL or (beam >= count and radius >= WIDEST):
+        groups = _groups(nodes, count, keyed, summaries, similarity, radius, shard_rows, beam, every)
+        if truth is None or audited_recall(truth, groups) >= RECALL or (every and beam >= count and radius >= WIDEST):
             break
         # Widen what most of the lost pairs call for.
         lost = _linked(truth, groups).filter("a_root != b_root").select("a", "b").limit(4096)
@@ -507,6 +542,8 @@ def duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         far = _distance(marks[:, :4], marks[:, 4:])
         if radius < WIDEST and ((far > radius).mean() >= 0.5 or beam >= count):
             radius = min(WIDEST, radius + 8)
+        elif not every:
+            every = True
         else:
             beam *= 2
     node = F.struct("n0", "n1")

@@ -151,6 +151,36 @@ def test_every_task_of_the_search_is_audited(spark):
     assert len(rows) > 3 and all(r.recall >= simhash.RECALL for r in rows)
 
 
+def test_the_search_grows_with_the_nodes_not_with_their_square(spark):
+    def tasks(n):
+        pool = [f"w{k}" for k in range(3000)]
+        base = [random.Random(k).choices(pool, k=60) for k in range(n)]
+        df = table(spark, [(k, " ".join(t), "s") for k, t in enumerate(base)] + [(n + k, " ".join(t[:-2]), "s") for k, t in enumerate(base)])
+        nodes = simhash._summaries(simhash._keyed(df, "doc_id", "text")).cache()
+        pairs = simhash._candidates(nodes, 2 * n, simhash.RADIUS, 20).cache()
+        at = {(r.n0, r.n1): r.id for r in nodes.join(simhash._keyed(df, "doc_id", "text"), "key").select("n0", "n1", "id").collect()}
+        met = {tuple(sorted((at[tuple(r.a)], at[tuple(r.b)]))) for r in pairs.filter("part >= 0").collect()}
+        assert all((k, n + k) in met for k in range(n))
+        return simhash.audits(pairs).count()
+
+    assert tasks(240) <= 3 * tasks(120)
+
+
+def test_simhash_cuts_a_shard_of_a_frequent_hash(spark):
+    pool = [f"w{k}" for k in range(3000)]
+    # Without ROUNDS hashes of their own, all texts have one run's hashes in common.
+    df = table(spark, [(k, " ".join(random.Random(k % 50).choices(pool, k=60)) + " x" * (k // 50), "s") for k in range(100)])
+    nodes = simhash._summaries(simhash._keyed(df, "doc_id", "text"))
+    for c in simhash._LEAST:
+        nodes = nodes.withColumn(c, F.lit(7).cast("bigint"))
+    pairs = simhash._candidates(nodes.cache(), 100, simhash.RADIUS, 20).cache()
+    assert pairs.filter("part >= 0").select("a", "b").distinct().count() >= 50
+    # Five blocks a round, of which each meets all.
+    assert simhash.audits(pairs).count() == simhash.ROUNDS * 15
+    every = simhash._candidates(nodes, 100, simhash.RADIUS, 20, every=True)
+    assert every.filter("part >= 0").count() >= 50 and simhash.audits(every).count() == 15
+
+
 def test_simhash_repeated_line_and_exact_audit(spark):
     pool = [f"w{k}" for k in range(3000)]
     base = [random.Random(k).choices(pool, k=200) for k in range(20)]
