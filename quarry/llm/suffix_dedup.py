@@ -4,8 +4,9 @@ Every window of ``least`` words is named by the least hash among its short runs
 equal windows have equal names, wherever they are. Neighbouring windows of one name form a
 stretch of text. Stretches whose name occurs once can't hold a repetition and go, unless the
 run that names them occurs in them again. Equal stretches are folded into one, with their
-number, before the rest are dealt to shards by name, so that equal windows meet. A shard's
-stretches are streamed to disk, where their suffixes are sorted, and its spans are streamed
+number, before the rest are dealt to shards by name, so that equal windows meet. Where a name
+is left with one stretch, and no text has the naming run twice, all its windows are equal ones
+of that stretch, and nothing needs sorting. A shard's other stretches are streamed to disk, where their suffixes are sorted, and its spans are streamed
 back; neighbours with ``least`` words in common are repetitions. Spans of folded stretches
 and from all shards are then united by document.
 """
@@ -19,7 +20,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cleared, mark, mounted, shared_folder, table, texts_of, written
@@ -150,6 +151,20 @@ class Shard:
         return out[0], out[1]
 
 
+def alone_spans(batches, found: list[pa.RecordBatch]):
+    """Passes on the stretches that need sorting; of those alone with their name the spans go to ``found``, as ``stretch_spans`` gives them."""
+    for batch in batches:
+        digest, key, first, many, alone, column = (batch.column(batch.schema.get_field_index(n)) for n in ("digest", "key", "first", "many", "alone", "words"))
+        single = alone.to_numpy(zero_copy_only=False).astype(bool)
+        at = np.flatnonzero(single & many.to_numpy(zero_copy_only=False).astype(bool))
+        if len(at):
+            of, begin, size = pa.array(np.tile(at, 2)), first.to_numpy()[at], column.value_lengths().to_numpy()[at]
+            again = pa.array([False] * len(at) + [None] * len(at), pa.bool_())
+            low, high = (np.concatenate(x).astype(np.int32) for x in ((begin, 0 * begin), (begin + size, size)))
+            found.append(pa.RecordBatch.from_arrays([digest.take(of), key.take(of), first.take(of), again, pa.array(low), pa.array(high)], names=["digest", "key", "first", "again", "first_word", "last_word"]))
+        yield batch.filter(pa.array(~single))
+
+
 def stretch_spans(batches, folder: Path, least: int, memory: int):
     """Spans of folded stretches, which come in the order of their first places: batches of digest, key, first, many and words.
 
@@ -222,11 +237,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch, since = shared_folder(spark), mark()
     keyed = _keyed(docs, id_col, text_col)
     found = written(_named(keyed, least, min(RUN, least)), "stretches")
-    names = found.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.bool_or("twice").alias("twice")).filter("n > 1 OR twice").select("name")
+    names = found.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.bool_or("twice").alias("twice")).filter("n > 1 OR twice").select("name", "twice")
     kept = written(found.drop("twice").join(names, "name").distinct(), "repeated")
     row = kept.agg(F.sum(F.col("last") - F.col("first"))).first()
     shards = max(1, -(-(row[0] or 0) // shard_words))
-    wanted = written(kept.groupBy("key").agg(F.collect_list(F.struct("name", "first", "last")).alias("parts")), "wanted")
+    wanted = written(kept.groupBy("key").agg(F.collect_list(F.struct("name", "first", "last", "twice")).alias("parts")), "wanted")
     some = keyed.join(_sized(wanted.select("key"), wanted.count()), "key", "left_semi").dropDuplicates(["key"])
     holders = some.join(wanted, "key")
 
@@ -241,21 +256,24 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 which = pa.array([k for k, _ in rows], pa.int64())
                 values = [short[offsets[k - a] + p["first"] : offsets[k - a] + p["last"]] for k, p in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(which), batch.column(1).take(which), pa.array([p["name"] for _, p in rows], pa.int64()), pa.array([p["first"] for _, p in rows], pa.int32()),
+                    [batch.column(0).take(which), batch.column(1).take(which), pa.array([p["name"] for _, p in rows], pa.int64()), pa.array([p["first"] for _, p in rows], pa.int32()), pa.array([p["twice"] for _, p in rows], pa.bool_()),
                      pa.array([xxhash.xxh3_128_digest(v) for v in values], pa.binary()), pa.array(values, pa.list_(pa.int32()))],
-                    names=["key", "id", "name", "first", "digest", "words"],
+                    names=["key", "id", "name", "first", "twice", "digest", "words"],
                 )
 
     id_type = keyed.schema["id"].dataType.simpleString()
-    cuts = holders.select("key", "id", "text", "parts").mapInArrow(cut, f"key binary, id {id_type}, name bigint, first int, digest binary, words array<int>")
+    cuts = holders.select("key", "id", "text", "parts").mapInArrow(cut, f"key binary, id {id_type}, name bigint, first int, twice boolean, digest binary, words array<int>")
     pieces = written(cuts, "pieces")
     # Equal stretches are one, at their first place: the least id (nulls come first), key and place.
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "key", "first")
-    folded = pieces.groupBy("name", "digest").agg(F.min(place).alias("own"), (F.count(F.lit(1)) > 1).alias("many"), F.first("words").alias("words"))
-    dealt = folded.repartition(shards, "name").sortWithinPartitions("own").select("digest", "own.key", "own.first", "many", "words")
+    folded = pieces.groupBy("name", "digest").agg(F.min(place).alias("own"), (F.count(F.lit(1)) > 1).alias("many"), F.first("words").alias("words"), F.bool_or("twice").alias("twice"))
+    alone = ~F.col("twice") & (F.count(F.lit(1)).over(Window.partitionBy("name")) == 1)
+    dealt = folded.repartition(shards, "name").withColumn("alone", alone).sortWithinPartitions("own").select("digest", "own.key", "own.first", "many", "alone", "words")
 
     def sort(batches):
-        yield from stretch_spans(batches, mounted(scratch) / f"suffixes-{uuid.uuid4().hex}", least, memory)
+        whole: list[pa.RecordBatch] = []
+        yield from stretch_spans(alone_spans(batches, whole), mounted(scratch) / f"suffixes-{uuid.uuid4().hex}", least, memory)
+        yield from whole
 
     found_spans = written(dealt.mapInArrow(sort, "digest binary, key binary, first int, again boolean, first_word int, last_word int"), "stretch_spans")
     own = found_spans.filter("again IS NOT NULL").select("key", "again", "first_word", "last_word")

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -402,3 +403,18 @@ def test_passages_against_brute_force(spark):
         for k in range(len(w) - 49):
             seen.setdefault(tuple(w[k : k + 50]), []).append((i, k))
     assert got == {(i, n > 0, k + j) for at in seen.values() if len(at) > 1 for n, (i, k) in enumerate(sorted(at)) for j in range(50)}
+
+
+def test_stretches_alone_with_their_name_are_not_sorted(spark, tmp_path, monkeypatch):
+    words_of = [list(range(60)), list(range(100, 155)), list(range(200, 260))]
+    batch = pa.RecordBatch.from_pydict({"digest": [b"a", b"b", b"c"], "key": [b"x", b"y", b"z"], "first": pa.array([7, 0, 3], pa.int32()), "many": [True, False, True], "alone": [True, True, False], "words": pa.array(words_of, pa.list_(pa.int32()))})
+    whole: list = []
+    assert [b["digest"].to_pylist() for b in suffix_dedup.alone_spans(iter([batch]), whole)] == [[b"c"]]
+    got = [r for b in whole for r in b.to_pylist()]
+    # As by sorting, of which nothing is left to do.
+    sorted_too = [r for b in suffix_dedup.stretch_spans(iter([batch.drop_columns(["alone"])]), tmp_path / "s", 50, 1000) for r in b.to_pylist()]
+    by = lambda r: (r["digest"], r["again"] is None)
+    assert sorted(got, key=by) == sorted((r for r in sorted_too if r["digest"] != b"c"), key=by) and len(got) == 2
+    monkeypatch.setattr(suffix_dedup.Shard, "sort", None)
+    rest = suffix_dedup.alone_spans(iter([batch.slice(0, 2)]), [])
+    assert list(suffix_dedup.stretch_spans(rest, tmp_path / "t", 50, 1000)) == []
