@@ -501,7 +501,10 @@ def _groups(nodes: DataFrame, count: int, keyed: DataFrame, summaries: DataFrame
     first = _verified(pairs.filter("part > 0").select("a", "b").distinct(), keyed, summaries, similarity)
     groups = components(first)
     # Candidates outside the forests whose ends the verified edges don't link.
-    rest = written(_linked(pairs.filter("part = 0").select("a", "b").distinct(), groups).filter("a_root != b_root").select("a", "b"), "rest")
+    # They are many within large groups, so while the groups can be broadcast no such pair is shuffled.
+    loose, named = pairs.filter("part = 0").select("a", "b"), groups.count()
+    loose = loose if named <= BROADCAST_ROWS else loose.distinct()
+    rest = written(_linked(loose, _sized(groups, named)).filter("a_root != b_root").select("a", "b").distinct(), "rest")
     if not rest.isEmpty():
         more = _verified(rest, keyed, summaries, similarity)
         if not more.isEmpty():
@@ -568,18 +571,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     a group. Of repeated rows one stays, whichever its other columns are. Texts of any length
     are compared whole. An empty table gives an empty table. Other columns are kept.
     """
-    (key,) = spare(docs, "key")
+    key, twice = spare(docs, "key", "twice")
     rows = duplicate_rows(docs, id_col, text_col, similarity, radius, shard_rows)
-    gone = rows.filter("key != kept_key").select(F.col("key").alias(key))
+    # Rows that go, and kept ones that occur more than once; the texts meet these in one join.
+    marked = rows.filter("key != kept_key OR repeats > 1").select(F.col("key").alias(key), (F.col("key") == F.col("kept_key")).alias(twice)).distinct()
     ident, text = column(docs, id_col), column(docs, text_col)
     hashed = docs.withColumn(key, F.unhex(F.md5(F.concat_ws("|", F.coalesce(ident.cast("string"), F.lit("null")), F.coalesce(text, F.lit(""))))))
-    count = rows.count()
-    left = hashed.join(_sized(gone, count), key, "left_anti")
-    twice = rows.filter("key = kept_key AND repeats > 1").select(F.col("key").alias(key))
-    if twice.isEmpty():
-        return left.drop(key)
-    once = left.join(_sized(twice, count), key, "left_semi").dropDuplicates([key])
-    return left.join(_sized(twice, count), key, "left_anti").unionByName(once).drop(key)
+    counts = {r[twice]: r["count"] for r in marked.groupBy(twice).count().collect()}
+    few = _sized(marked, sum(counts.values()))
+    if not counts.get(True):
+        return hashed.join(few, key, "left_anti").drop(key)
+    placed = hashed.join(few, key, "left")
+    once = placed.filter(column(placed, twice)).dropDuplicates([key])
+    return placed.filter(column(placed, twice).isNull()).unionByName(once).drop(key, twice)
+
 
 
 def op4_simhash(spark, sf_dir):

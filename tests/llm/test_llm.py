@@ -122,6 +122,20 @@ def test_simhash_shards_and_repeats(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
 
 
+def test_simhash_shuffles_texts_once_at_most(spark, monkeypatch):
+    base = [" ".join(random.Random(k).choices("alpha beta gamma delta eps zeta eta theta iota kappa".split(), k=60)) for k in range(30)]
+    rows = [(str(k), t) for k, t in enumerate(base)] + [(f"x{k}", t + " end") for k, t in enumerate(base[:10])] + [("0", base[0]), (None, "one two three"), ("null", "one two three"), (None, None), (None, None)]
+    docs, expected = spark.createDataFrame(rows, "doc_id string, text string"), sorted([(str(k), t) for k, t in enumerate(base)] + [("", "one two three"), ("", ""), ("", "")])
+    monkeypatch.setattr(simhash, "_sized", lambda df, rows: df.hint("broadcast") if rows <= limit else df.hint("merge"))
+    # 10 texts go and 2 stay of those that occur more than once, while 23 rows are in groups.
+    for limit, shuffles in ((12, 0), (11, 1)):
+        kept = simhash.drop_near_duplicates(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 * shuffles and ("BroadcastHashJoin" in plan) != shuffles
+        got = sorted((r.doc_id if r.doc_id not in (None, "null") else "", r.text or "") for r in kept.collect())
+        assert got == expected
+
+
 def test_search_beside_a_hot_group():
     rng = np.random.default_rng(6)
 
