@@ -24,6 +24,11 @@ WORD = r"[\p{L}\p{M}\p{N}_]"
 EDGE = r"[^\p{L}\p{M}\p{N}_]"
 
 
+def stripped(text: Column | str) -> Column:
+    """The text without white space around it."""
+    return F.btrim(_c(text), F.lit(" \t\n\x0b\f\r"))
+
+
 def acronyms(text: Column | str, most: int | None = None) -> Column:
     return F.regexp_count(_c(text), F.lit(f"(?U)\\b[A-Z]{{2,{most or ''}}}\\b")).cast("bigint")
 
@@ -60,8 +65,8 @@ def densities(text: Column | str) -> dict[str, Column]:
 
 
 def present_terms(text: Column | str, terms: list[str] = INDICATORS) -> Column:
-    t = F.lower(_c(text))
-    return F.size(F.filter(F.array(*map(F.lit, terms)), lambda x: F.contains(t, x))).cast("bigint")
+    found = lambda t: sum((F.contains(t, F.lit(x)).cast("bigint") for x in terms), F.lit(0).cast("bigint"))
+    return let(F.lower(_c(text)), found)  # in lower case once, not for each term
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -74,9 +79,14 @@ def repetition(tokens: Column, n: int) -> Column:
     return let(F.sort_array(gram_hashes(tokens, n)), lambda g: _share(F.size(F.array_distinct(again(g))), F.size(g)))
 
 
+def _diverse(w: Column) -> Column:
+    measures = {"ttr": _share(F.size(F.array_distinct(w)), F.size(w)), "repeated_bigrams": repetition(w, 2), "repeated_trigrams": repetition(w, 3), "unique_words": F.size(F.array_distinct(w)).cast("bigint")}
+    return F.struct(*[v.alias(k) for k, v in measures.items()])
+
+
 def diversity(text: Column | str) -> dict[str, Column]:
-    w = F.transform(words(text), F.lower)
-    return {"ttr": _share(F.size(F.array_distinct(w)), F.size(w)), "repeated_bigrams": repetition(w, 2), "repeated_trigrams": repetition(w, 3), "unique_words": F.size(F.array_distinct(w)).cast("bigint")}
+    d = let(F.transform(words(text), F.lower), _diverse)  # the words are made once for all measures
+    return {k: d[k] for k in ("ttr", "repeated_bigrams", "repeated_trigrams", "unique_words")}
 
 
 def repeated_sentences(text: Column | str, longer_than: int = 10) -> Column:
@@ -95,15 +105,15 @@ def judged(text: Column | str, low: int = 140, high: int = 210, longer_than: int
     sentence longer than so many characters. Low variety and many repeated trigrams are but
     warnings: none is excellent, one good, two acceptable.
     """
-    n, s = word_count(text), _dot_sentences(text)
-    again = let(s, lambda a: F.filter(a, lambda x, i: (F.length(x) > longer_than) & (F.array_position(a, x) <= i)))
-    d = diversity(text)
-    length = F.when(n < low, F.concat(F.lit("Too short: "), n.cast("string"), F.lit(f" words (least {low})"))).when(n > high, F.concat(F.lit("Too long: "), n.cast("string"), F.lit(f" words (most {high})")))
-    said = F.transform(again, lambda x: F.concat(F.lit("Repeated sentence: "), F.substring(x, 1, 50)))
-    base = F.struct(
-        F.concat(F.array_compact(F.array(length)), said).alias("problems"), F.round(d["ttr"], 3).alias("ttr"), F.round(d["repeated_bigrams"], 3).alias("repeated_bigrams"),
-        F.round(d["repeated_trigrams"], 3).alias("repeated_trigrams"), d["unique_words"].alias("unique_words"),
-    )
+    repeats = lambda a: F.filter(a, lambda x, i: (F.length(x) > longer_than) & (F.array_position(a, x) <= i))
+    again = let(_dot_sentences(text), lambda a: F.when(F.size(F.array_distinct(a)) < F.size(a), repeats(a)).otherwise(F.slice(a, 1, 0)))
+
+    def based(x: Column) -> Column:
+        n, d = F.size(x["w"]), let(x["w"], _diverse)
+        length = F.when(n < low, F.concat(F.lit("Too short: "), n.cast("string"), F.lit(f" words (least {low})"))).when(n > high, F.concat(F.lit("Too long: "), n.cast("string"), F.lit(f" words (most {high})")))
+        said = F.transform(x["again"], lambda y: F.concat(F.lit("Repeated sentence: "), F.substring(y, 1, 50)))
+        measured = lambda d: F.struct(F.concat(F.array_compact(F.array(length)), said).alias("problems"), *[F.round(d[k], 3).alias(k) for k in ("ttr", "repeated_bigrams", "repeated_trigrams")], d["unique_words"].alias("unique_words"))
+        return let(d, measured)
 
     def whole(x: Column) -> Column:
         warnings = F.array_compact(F.array(F.when(x["ttr"] < 0.4, "Low variety"), F.when(x["repeated_trigrams"] > 0.3, "Similar phrases")))
@@ -111,7 +121,7 @@ def judged(text: Column | str, low: int = 140, high: int = 210, longer_than: int
         rank = F.when(~valid, "poor").when(F.size(warnings) == 0, "excellent").when(F.size(warnings) == 1, "good").otherwise("acceptable")
         return F.struct(valid.alias("valid"), rank.alias("tier"), x["problems"].alias("problems"), warnings.alias("warnings"), *[x[k].alias(k) for k in ("ttr", "repeated_bigrams", "repeated_trigrams", "unique_words")])
 
-    return let(base, whole)
+    return let(let(F.struct(F.transform(words(text), F.lower).alias("w"), again.alias("again")), based), whole)
 
 
 def generation_metrics(df, source: str, made: str):
@@ -182,7 +192,7 @@ def classified(df, text: str = "text"):
     """``df`` with readability, the heuristic's confidence, is_plain and its reasons; technical counts the indicators present."""
     out = R.counts(df, text).withColumns({"fre": R.flesch(), "fkg": R.kincaid(), "avg_word_length": R.word_length(), "technical": present_terms(text)})
     density = F.lit(100.0) * F.col("technical") / F.greatest(F.lit(1), F.col("n_words"))
-    long_enough = F.length(F.regexp_replace(text, "^\\s+|\\s+$", ""))
+    long_enough = F.length(stripped(text))
     out = out.withColumn("density", density).withColumn("confidence", confidence(F.col("fre"), F.col("fkg"), F.col("avg_word_length"), F.col("density"), long_enough))
     out = out.withColumn("is_plain", F.col("confidence") >= 0.5).withColumn("reasons", F.when(long_enough >= 50, reasons()).otherwise("too short to classify"))
     return out.select(*df.columns, "fre", "fkg", "avg_word_length", "technical", "density", "confidence", "is_plain", "reasons", "n_words", "n_sentences", "n_long")

@@ -21,12 +21,18 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
-#: Words by syllables, as patterns over lower-case text: vowel groups, words that end in a silent e, words
-#: without a vowel and with none but such an e, words of three groups and more, and those of three with a silent e.
-_VOWELS, _SILENT = "[aeiouy]+", "[^aeiouy\\s]e[^a-z\\s]*(?!\\S)"
-_NONE, _ONLY = "(?<!\\S)[^aeiouy\\s]+(?!\\S)", "(?<!\\S)[^aeiouy\\s]+e[^a-z\\s]*(?!\\S)"
-_THREE = "(?<!\\S)[^aeiouy\\s]*(?:[aeiouy]+[^aeiouy\\s]+){2}[aeiouy]\\S*"
-_THREE_SILENT = "(?<!\\S)[^aeiouy\\s]*(?:[aeiouy]+[^aeiouy\\s]+){2}e[^a-z\\s]*(?!\\S)"
+#: Words by syllables, as patterns over lower-case text that go over it once, without backtracking: vowel groups but
+#: for silent ones, words with such a group (the rest has one syllable all the same), words of three and more.
+_HEARD = "[aiouy]|e(?![^a-z\\s]*+(?!\\S))"
+_GROUPS, _VOICED = f"(?:{_HEARD}|(?<!\\S)e)[aeiouy]*+", f"(?:{_HEARD}|(?<!\\S)e)\\S*+"
+_THREE = f"[aeiouy](?<![aeiouy]{{2}})[aeiouy]*+[^aeiouy\\s]++[aeiouy]++[^aeiouy\\s]++(?:{_HEARD})\\S*+"
+
+
+def letters(text: Column) -> Column:
+    """Characters that aren't white space."""
+    for space in " \n\t\r\f\v":
+        text = F.replace(text, F.lit(space), F.lit(""))
+    return F.length(text)
 
 
 def counts(df, text: str = "text", first_words: int | None = None, keep_words: bool = False):
@@ -39,11 +45,11 @@ def counts(df, text: str = "text", first_words: int | None = None, keep_words: b
     base = df.withColumns({"_low": F.lower(F.array_join(F.slice(words(text), 1, first_words), " ") if first_words else t), **({"_w": words(text)} if keep_words else {})})
     low = F.col("_low")
     made = base.withColumns({
-        "n_words": of(t, "\\S+"), "n_sentences": F.greatest(F.lit(1).cast("bigint"), of(t, "[^\\s.!?][^.!?]*")),
-        "n_syllables": of(low, _VOWELS) - of(low, _SILENT) + of(low, _NONE) + of(low, _ONLY), "n_letters": of(t, "\\S"),
-        "n_complex": of(low, _THREE) - of(low, _THREE_SILENT), "n_long": of(t, "\\S{11,}"),
+        "n_words": of(t, "\\S++"), "n_sentences": F.greatest(F.lit(1).cast("bigint"), of(t, "[^\\s.!?][^.!?]*+")),
+        "n_syllables": of(low, _GROUPS) - of(low, _VOICED), "n_letters": letters(t).cast("bigint"),
+        "n_complex": of(low, _THREE), "n_long": of(t, "\\S{11,}+"),
     })
-    return made.drop("_low")
+    return made.withColumn("n_syllables", F.col("n_syllables") + (of(low, "\\S++") if first_words else F.col("n_words"))).drop("_low")
 
 
 def _per(a: Column | str, b: Column | str) -> Column:
