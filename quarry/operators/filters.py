@@ -16,6 +16,14 @@ def by_label(df: DataFrame, label: str, positive: str, negative: str, least: int
     return df.withColumn("chosen_text", F.trim(text)).filter(F.length("chosen_text") >= least)
 
 
+def kept(df: DataFrame, test: Column) -> DataFrame:
+    """Rows that pass, the columns that the test reads being computed once.
+
+    A plain filter is pushed below them, and works out each of them again for every mention.
+    """
+    return df.withColumn("_at", F.monotonically_increasing_id()).filter((F.col("_at") >= 0) & test).drop("_at")
+
+
 def funnel(df: DataFrame, steps: dict[str, Column], by: list[str]) -> DataFrame:
     """How many rows pass the first step, the first two, and so on, in one aggregation."""
     passed, out = F.lit(True), []
@@ -26,6 +34,7 @@ def funnel(df: DataFrame, steps: dict[str, Column], by: list[str]) -> DataFrame:
 
 
 def approved(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
+    passed = F.lit(True)
     for test in steps.values():
-        df = df.filter(test)
-    return df
+        passed = passed & test
+    return kept(df, passed)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import lexical as L
 from quarry.functions import readability as R
 from quarry.functions import text as X
+from quarry.operators import filters
 
 
 def plan_of(df):
@@ -29,3 +30,10 @@ def test_syllables_are_those_of_the_words(spark):
 def test_texts_are_gone_over_few_times(spark):
     assert plan_of(L.classified(texts(spark)).select("fre", "fkg")).count("regexp_extract_all") <= 4
     assert plan_of(texts(spark).select(L.judged("text").alias("j"))).count("split(") == 2  # words and sentences
+
+
+def test_filters_repeat_nothing(spark):
+    df = L.classified(texts(spark))
+    steps = {"a": F.col("fre") >= 0, "b": F.col("fkg") <= 90, "c": F.col("confidence") >= 0.1}
+    assert plan_of(filters.approved(df, steps)).count("regexp_extract_all") == plan_of(df).count("regexp_extract_all")
+    assert filters.approved(df, steps).count() == df.filter("fre >= 0 AND fkg <= 90 AND confidence >= 0.1").count()
