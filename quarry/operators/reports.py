@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import lexical as L
 from quarry.functions.text import preview, word_count
 from quarry.operators.chunking import expand_tokens
+from quarry.operators.filters import kept
 from quarry.operators.stats import truncation
 
 
@@ -54,9 +55,8 @@ def compare_runs(df: DataFrame, version: str, low: int = 150, high: int = 250) -
         F.when(F.col("fre").between(60, 70), 3).when(F.col("fre").between(55, 75), 1).otherwise(0) + F.when(F.col("fkg").between(7, 9), 3).when(F.col("fkg") <= 10, 1).otherwise(0)
         + F.when(F.col("in_range_pct") >= 90, 2).when(F.col("in_range_pct") >= 80, 1).otherwise(0)
     )
-    m = m.withColumn("points", points)
-    best = m.agg(F.min_by(version, F.struct(-F.col("points"), F.col(version))).alias("_best"))
-    return m.crossJoin(F.broadcast(best)).withColumn("winner", F.col(version).eqNullSafe(F.col("_best"))).drop("_best")  # one row
+    best = F.min_by(version, F.struct(-F.col("points"), F.col(version))).over(Window.partitionBy())  # a row for each version, and the texts are read once
+    return m.withColumn("points", points).withColumn("winner", F.col(version).eqNullSafe(best))
 
 
 def recommendations(df: DataFrame, low: int = 140, high: int = 210) -> DataFrame:
@@ -121,7 +121,7 @@ def comparison_summary(compared: DataFrame) -> DataFrame:
 def errors(df: DataFrame, label: str, pred: str, id_col: str, text: str, size: int = 200) -> DataFrame:
     """A row for each kind of error: how often it occurs, and the least id with its text's beginning."""
     kind = F.when((F.col(label) == 0) & (F.col(pred) == 1), "false_positive").when((F.col(label) == 1) & (F.col(pred) == 0), "false_negative")
-    wrong = df.select(kind.alias("kind"), F.col(id_col).alias("_id"), preview(text, size).alias("_t")).filter("kind IS NOT NULL")
+    wrong = kept(df.withColumn("kind", kind), F.col("kind").isNotNull()).select("kind", F.col(id_col).alias("_id"), preview(text, size).alias("_t"))
     return wrong.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first_id"), F.min_by("_t", "_id").alias("first_text"))
 
 

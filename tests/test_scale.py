@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import lexical as L
 from quarry.functions import readability as R
 from quarry.functions import text as X
-from quarry.operators import filters
+from quarry.operators import filters, reports
 
 
 def plan_of(df):
@@ -37,3 +37,9 @@ def test_filters_repeat_nothing(spark):
     steps = {"a": F.col("fre") >= 0, "b": F.col("fkg") <= 90, "c": F.col("confidence") >= 0.1}
     assert plan_of(filters.approved(df, steps)).count("regexp_extract_all") == plan_of(df).count("regexp_extract_all")
     assert filters.approved(df, steps).count() == df.filter("fre >= 0 AND fkg <= 90 AND confidence >= 0.1").count()
+
+
+def test_errors_and_runs_read_texts_once(spark):
+    df = L.classified(texts(spark)).withColumns({"pred": (F.col("confidence") >= 0.75).cast("int"), "y": F.lit(0)})
+    assert plan_of(reports.errors(df, "y", "pred", "doc_id", "text")).count("regexp_extract_all") == plan_of(df.select("pred")).count("regexp_extract_all")
+    assert plan_of(reports.compare_runs(df, "source")).count("LogicalRDD") == 1
