@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import words
+from quarry.operators.filters import kept
 
 
 def describe(df: DataFrame, col: str, population: bool = False) -> DataFrame:
@@ -57,18 +58,20 @@ def class_metrics(df: DataFrame, label: str, pred: str, by: list[str] | None = N
 def _rank_sum(df: DataFrame, score: str, positive: Column, parts: int = 256) -> DataFrame:
     """n1, n0 and the rank sum of positives, ties sharing ranks: ranks come from counts by score, so ties cost one row.
 
-    Scores are put in order within ranges, whose bounds are approximate quantiles; the ranges'
-    counts (at most ``parts``) give the ranks that come before.
+    Scores are put in order within ranges (at most ``parts``), whose bounds are approximate quantiles;
+    the ranges' counts give the ranks that come before. Bounds and ranks read the same columns of the
+    counts by score, so that these are made and shuffled once.
     """
-    by = df.filter(F.col(score).isNotNull() & positive.isNotNull()).groupBy(score).agg(F.count_if(positive).alias("p"), F.count(F.lit(1)).alias("n"))
-    cuts = by.agg(F.percentile_approx(score, [k / parts for k in range(1, parts)], 10_000).alias("_cuts"))
-    placed = by.crossJoin(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts")  # one row
-    sizes = placed.groupBy("_part").agg(F.sum("n").alias("n")).agg(F.collect_list(F.struct("_part", "n")).alias("_sizes"))
-    within = Window.partitionBy("_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.aggregate(F.filter("_sizes", lambda x: x["_part"] < F.col("_part")), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    before = F.coalesce(F.sum("n").over(within), F.lit(0))
-    ranks = placed.withColumn("_before", before).crossJoin(F.broadcast(sizes)).withColumn("rank", F.col("_before") + earlier + (F.col("n") + 1) / F.lit(2.0))  # one row
-    return ranks.agg(F.sum("p").alias("n1"), F.sum(F.expr("n - p")).alias("n0"), F.sum(F.col("p") * F.col("rank")).alias("r1"))
+    told = df.withColumn("_y", positive).select(F.col(score).alias("_s"), "_y")
+    by = kept(told, F.col("_s").isNotNull() & F.col("_y").isNotNull()).groupBy("_s").agg(F.count_if("_y").alias("p"), F.count(F.lit(1)).alias("n"))
+    cuts = by.agg(F.percentile_approx("_s", [k / parts for k in range(1, parts)], 10_000).alias("_cuts"), F.sum("p").alias("n1"), F.sum("n").alias("all"))
+    placed = by.crossJoin(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts")  # one row
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_part").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = placed.withColumn("_before", before).groupBy("_part").agg(
+        F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.col("p") * (F.col("_before") + (F.col("n") + 1) / F.lit(2.0))).alias("r"), F.max("n1").alias("n1"), F.max("all").alias("all"),
+    )
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    return ranges.withColumn("r", F.col("r") + F.col("p") * earlier).agg(F.max("n1").alias("n1"), F.max(F.expr("all - n1")).alias("n0"), F.sum("r").alias("r1"))
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:

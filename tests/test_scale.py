@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import lexical as L
 from quarry.functions import readability as R
 from quarry.functions import text as X
-from quarry.operators import filters, reports
+from quarry.operators import filters, reports, stats
 
 
 def plan_of(df):
@@ -43,3 +43,18 @@ def test_errors_and_runs_read_texts_once(spark):
     df = L.classified(texts(spark)).withColumns({"pred": (F.col("confidence") >= 0.75).cast("int"), "y": F.lit(0)})
     assert plan_of(reports.errors(df, "y", "pred", "doc_id", "text")).count("regexp_extract_all") == plan_of(df.select("pred")).count("regexp_extract_all")
     assert plan_of(reports.compare_runs(df, "source")).count("LogicalRDD") == 1
+
+
+def test_ranks_score_rows_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def scored(k):
+        calls.add(1)
+        return float(k % 7)
+
+    df = spark.range(200).select(scored("id").alias("s"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    got = stats.mann_whitney(df, "s", "y").first()
+    a, b = [k % 7 for k in range(200) if k % 3 == 0], [k % 7 for k in range(200) if k % 3]
+    assert (got.n1, got.n0, got.u) == (len(a), len(b), sum((x > y) + 0.5 * (x == y) for x in a for y in b))
+    assert calls.value == 200
