@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from quarry.functions.text import let, words
 
@@ -41,8 +45,8 @@ def _count(text: str) -> int:
 
 
 def split_sentences(text: str, keep_tail: bool = True) -> list[str]:
-    parts = re.findall(r".*?[.!?]+\s+", text, re.DOTALL)
-    tail = text[sum(map(len, parts)) :]
+    ends = [0, *(m.end() for m in re.finditer(r"[.!?]\s+", text))]  # one pass, also where no sentence ends
+    parts, tail = [text[a:b] for a, b in zip(ends, ends[1:], strict=False)], text[ends[-1] :]
     found = [p.strip() for p in parts + ([tail] if keep_tail else []) if _count(p) >= 3]
     return found or ([text] if text.strip() else [])
 
@@ -56,21 +60,20 @@ def pack(text: str, most: int = 400, least_words: int = 5, keep_tail: bool = Tru
         return []
     if _count(text) <= most:
         return [text]
-    units: list[str] = []
+    units: list[tuple[str, int]] = []
     for p in [q.strip() for q in re.split(r"\n\s*\n+", text) if _count(q) >= least_words] or [text]:
         for s in [p] if _count(p) <= most else split_sentences(p, keep_tail):
             w = s.split()
-            units += [s] if len(w) <= most else [" ".join(w[k : k + most]) for k in range(0, len(w), most)]
+            units += [(s, len(w))] if len(w) <= most else [(" ".join(w[k : k + most]), len(w[k : k + most])) for k in range(0, len(w), most)]
     chunks, held, size = [], [], 0
     for u in units:
-        n = _count(u)
-        if held and size + n > most:
-            chunks.append(" ".join(held))
-            held = held[-1:] if len(held) > 1 and _count(held[-1]) + n <= most else []
-            size = sum(map(_count, held))
+        if held and size + u[1] > most:
+            chunks.append(" ".join(s for s, _ in held))
+            held = held[-1:] if len(held) > 1 and held[-1][1] + u[1] <= most else []
+            size = sum(n for _, n in held)
         held.append(u)
-        size += n
-    return chunks + ([" ".join(held)] if held else [])
+        size += u[1]
+    return chunks + ([" ".join(s for s, _ in held)] if held else [])
 
 
 def pack_semantic(text: str, most: int = 400, overlap: int = 50) -> list[str]:
@@ -100,30 +103,50 @@ def split_recursive(text: str, most: int = 400, overlap: int = 50, marks: tuple[
     mark = next((m for m in marks if m in text), "")
     parts = text.split(mark) if mark else [text[k : k + most] for k in range(0, len(text), most)]
     rest = marks[marks.index(mark) + 1 :] if mark else ()
-    out, held = [], []
+    out, held, size = [], [], 0  # size: characters of what is held, with the marks between
     for p in parts:
         if len(p) > most:
             out += [mark.join(held)] if held else []
-            held = []
+            held, size = [], 0
             out += split_recursive(p, most, overlap, rest)
             continue
-        if held and len(mark.join([*held, p])) > most:
+        if held and size + len(mark) + len(p) > most:
             out.append(mark.join(held))
-            while held and (len(mark.join(held)) > overlap or len(mark.join([*held, p])) > most):
-                held = held[1:]
+            gone = 0
+            while gone < len(held) and (size > overlap or size + len(mark) + len(p) > most):
+                gone += 1
+                size -= len(held[gone - 1]) + (len(mark) if gone < len(held) else 0)
+            held = held[gone:]
+        size += len(p) + (len(mark) if held else 0)
         held.append(p)
     return [c for c in out + ([mark.join(held)] if held else []) if c.strip()]
 
 
-def chunked(df: DataFrame, text_col: str, how: str = "paragraphs", **options) -> DataFrame:
-    """A row for each chunk (chunk_id, chunk) by "paragraphs", "semantic" or "recursive" packing."""
-    function = {"paragraphs": pack, "semantic": pack_semantic, "recursive": split_recursive}[how]
+def _slices(batch: pa.RecordBatch, col: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, of some ``most`` bytes of text or one row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[col]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: function(t or "", **options))
 
-    return df.select(*df.columns, F.posexplode(run(F.col(text_col))).alias("chunk_id", "chunk"))
+def chunked(df: DataFrame, text_col: str, how: str = "paragraphs", keep_text: bool = True, **options) -> DataFrame:
+    """A row for each chunk (chunk_id, chunk) by "paragraphs", "semantic" or "recursive" packing; Python holds the chunks of about a megabyte of text at a time."""
+    function = {"paragraphs": pack, "semantic": pack_semantic, "recursive": split_recursive}[how]
+    kept = [c for c in df.columns if keep_text or c != text_col]
+    schema = StructType([*[df.schema[c] for c in kept], StructField("chunk_id", IntegerType(), False), StructField("chunk", StringType())])
+
+    def run(batches):
+        for batch in batches:
+            for part in _slices(batch, text_col):
+                made = [function(t or "", **options) for t in part[text_col].to_pylist()]
+                owner = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]), pa.int64())
+                ids = pa.array([k for m in made for k in range(len(m))], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(part[c].take(owner) for c in kept), ids, pa.array([c for m in made for c in m], pa.string())], names=[*kept, "chunk_id", "chunk"])
+
+    return df.mapInArrow(run, schema)
 
 
 def merged(df: DataFrame, keys: list[str], index: str, chunk: str, first_only: bool = False) -> DataFrame:

@@ -603,17 +603,17 @@ def chunk_expand_pairs(spark, sf):
 
 @query()
 def chunk_paragraphs(spark, sf):
-    return chunking.chunked(docs(spark, sf).select("doc_id", "text"), "text", "paragraphs").drop("text")
+    return chunking.chunked(docs(spark, sf).select("doc_id", "text"), "text", "paragraphs", keep_text=False)
 
 
 @query()
 def chunk_semantic(spark, sf):
-    return chunking.chunked(docs(spark, sf).select("doc_id", "text"), "text", "semantic").drop("text")
+    return chunking.chunked(docs(spark, sf).select("doc_id", "text"), "text", "semantic", keep_text=False)
 
 
 @query()
 def chunk_recursive(spark, sf):
-    return chunking.chunked(docs(spark, sf).select("doc_id", "text"), "text", "recursive").drop("text")
+    return chunking.chunked(docs(spark, sf).select("doc_id", "text"), "text", "recursive", keep_text=False)
 
 
 @query(f"""WITH {_CHUNKS.replace("450", "400").replace("/ 400.0", "/ 350.0")}, n AS (SELECT 'before' AS "when", len({S.WORDS})::BIGINT AS n FROM documents UNION ALL SELECT 'after', len(w[chunk_id * 350 + 1 : chunk_id * 350 + 400])::BIGINT FROM chunks)

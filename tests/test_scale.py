@@ -1,13 +1,15 @@
 """What must not be worked out again and again, nor be held at once: plans, calls and batches."""
 
 import random
+import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.functions import lexical as L
 from quarry.functions import readability as R
 from quarry.functions import text as X
-from quarry.operators import filters, reports, stats
+from quarry.operators import chunking, filters, reports, stats
 
 
 def plan_of(df):
@@ -58,3 +60,22 @@ def test_ranks_score_rows_once(spark):
     a, b = [k % 7 for k in range(200) if k % 3 == 0], [k % 7 for k in range(200) if k % 3]
     assert (got.n1, got.n0, got.u) == (len(a), len(b), sum((x > y) + 0.5 * (x == y) for x in a for y in b))
     assert calls.value == 200
+
+
+def test_sentences_without_an_end():
+    text, start = "no end here " * 40_000, time.process_time()
+    assert chunking.split_sentences(text) == [text.strip()] and len(chunking.pack(text)) == 300
+    assert chunking.split_sentences("A b c... D e?! \n F g h") == ["A b c...", "F g h"]
+    assert time.process_time() - start < 20
+
+
+def test_chunks_are_made_a_few_texts_at_a_time(spark, monkeypatch):
+    text = "word " * 20_000
+    df = spark.createDataFrame([(k, text) for k in range(60)], "doc_id long, text string").coalesce(1)
+    held = chunking.chunked(df, "text", "recursive", keep_text=False).mapInArrow(lambda bs: (b.select(["doc_id"]).slice(0, 1).append_column("n", pa.array([b.num_rows], pa.int64())) for b in bs if b.num_rows), "doc_id long, n long")
+    wanted = [(k, c, t) for k in range(2) for c, t in enumerate(chunking.split_recursive(text))]
+    got = chunking.chunked(df, "text", "recursive").filter("doc_id < 2").orderBy("doc_id", "chunk_id")
+    assert [tuple(r) for r in got.select("doc_id", "chunk_id", "chunk").collect()] == wanted and got.columns == ["doc_id", "text", "chunk_id", "chunk"]
+    assert held.agg(F.sum("n")).first()[0] == 60 * len(wanted) // 2
+    part = pa.RecordBatch.from_pydict({"text": ["x" * 400_000, None, "x" * 400_000, "x" * 3_000_000, "y", "z"]})
+    assert [p.num_rows for p in chunking._slices(part, "text")] == [3, 1, 2]
