@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import words
+from quarry.functions.text import let, words
 from quarry.operators.filters import kept
 
 
@@ -90,15 +90,20 @@ def two_sided_p(u: float, n1: int, n0: int) -> float:
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, min_df: int = 2, max_df: float = 0.95, features: int = 10_000) -> DataFrame:
     """(id, term, tf, weight): smoothed idf plus one, rows of length 1; the most frequent terms within the bounds."""
-    # Dealt out by id once; counts and norms of a document then need no shuffle, and the kept terms are bounded.
-    terms = df.select(id_col, text_col).repartition(id_col).select(id_col, F.explode(F.filter(F.split(F.lower(text_col), "[^a-z0-9]+"), lambda w: F.length(w) > 1)).alias("term"))
-    tf = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Dealt out by id once (as a struct, so that nulls are equal); terms are counted within the row, and norms are joined
+    # to the terms without a shuffle or sort, so that a task holds its texts but never its terms.
+    grouped = df.groupBy(F.struct(id_col).alias("_id")).agg(F.collect_list(F.lower(text_col)).alias("_texts"))
+    split = F.flatten(F.transform("_texts", lambda t: F.filter(F.split(t, "[^a-z0-9]+"), lambda w: F.length(w) > 1)))
+    starts = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+    runs = lambda w: let(starts(w), lambda s: F.transform(s, lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(w)) - i).cast("bigint").alias("tf"))))
+    counted = let(F.sort_array(split), lambda w: F.when(F.size(w) > 0, runs(w)))
+    tf = grouped.select("_id", F.explode(counted).alias("_x")).select("_id", "_x.*")
     total = df.agg(F.count(F.lit(1)).alias("docs"))
     counts = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurs")).crossJoin(F.broadcast(total))  # one row
     kept = counts.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("docs"))).orderBy(F.desc("occurs"), "term").limit(features)
     weighed = tf.join(F.broadcast(kept), "term").withColumn("raw", F.col("tf") * (F.ln((F.lit(1.0) + F.col("docs")) / (F.lit(1.0) + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
-    return weighed.select(id_col, "term", "tf", F.round(F.col("raw") / norm, 6).alias("weight"))
+    norms = weighed.groupBy("_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_norm"))
+    return weighed.join(norms.hint("shuffle_hash"), "_id").select(F.col("_id")[id_col].alias(id_col), "term", "tf", F.round(F.col("raw") / F.col("_norm"), 6).alias("weight"))
 
 
 def histogram(df: DataFrame, col: str, low: float, high: float, bins: int) -> DataFrame:

@@ -79,3 +79,12 @@ def test_chunks_are_made_a_few_texts_at_a_time(spark, monkeypatch):
     assert held.agg(F.sum("n")).first()[0] == 60 * len(wanted) // 2
     part = pa.RecordBatch.from_pydict({"text": ["x" * 400_000, None, "x" * 400_000, "x" * 3_000_000, "y", "z"]})
     assert [p.num_rows for p in chunking._slices(part, "text")] == [3, 1, 2]
+
+
+def test_term_weights_sort_no_terms(spark):
+    df = spark.createDataFrame([(1, "aa bb aa"), (1, "bb cc"), (None, "aa cc"), (3, None), (4, "dd bb cc")], "doc_id long, text string")
+    made = stats.tfidf(df, "doc_id", "text")
+    assert "Window" not in plan_of(made)
+    rows = made.collect()
+    assert {(r.doc_id, r.term, r.tf) for r in rows} == {(1, "aa", 2), (1, "bb", 2), (1, "cc", 1), (None, "aa", 1), (None, "cc", 1), (4, "bb", 1), (4, "cc", 1)}
+    assert all(abs(sum(r.weight**2 for r in rows if r.doc_id == k) - 1) < 1e-5 for k in (1, None, 4))
