@@ -5,11 +5,12 @@ import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from quarry.functions import lexical as L
 from quarry.functions import readability as R
 from quarry.functions import text as X
-from quarry.operators import chunking, filters, reports, stats
+from quarry.operators import chunking, classify, filters, reports, stats
 
 
 def plan_of(df):
@@ -88,3 +89,14 @@ def test_term_weights_sort_no_terms(spark):
     rows = made.collect()
     assert {(r.doc_id, r.term, r.tf) for r in rows} == {(1, "aa", 2), (1, "bb", 2), (1, "cc", 1), (None, "aa", 1), (None, "cc", 1), (4, "bb", 1), (4, "cc", 1)}
     assert all(abs(sum(r.weight**2 for r in rows if r.doc_id == k) - 1) < 1e-5 for k in (1, None, 4))
+
+
+def test_training_keeps_no_texts(spark, monkeypatch):
+    held, persist = [], DataFrame.persist
+    monkeypatch.setattr(DataFrame, "persist", lambda df, *a: (held.append(df.columns), persist(df, *a))[1])
+    df = spark.createDataFrame([(k, f"plain words number {k % 5} help you" if k % 2 else f"the cohort placebo trial {k % 7} was randomized", k % 2) for k in range(40)], "doc_id long, text string, label int")
+    model = classify.fit(df, iterations=5)
+    assert held and not any({"text", "_terms"} & {*columns} for columns in held)
+    assert {"plain words", "cohort", "placebo trial"} <= {*model.stages[4].vocabulary}
+    p = {r.doc_id: r.p_plain for r in classify.score(model, df).collect()}
+    assert all((p[k] > 0.5) == bool(k % 2) for k in range(40))
